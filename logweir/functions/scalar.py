@@ -8,7 +8,7 @@ DAY_NS = 86_400_000_000_000
 
 def floor_div(ns: Column, by: int) -> Column:
     """Integer division that rounds down for negative values too; never through a double."""
-    return ((ns - F.pmod(ns, F.lit(by))) / F.lit(by)).cast("bigint") if by == 1 else F.call_function("div", ns - F.pmod(ns, F.lit(by)), F.lit(by))
+    return F.call_function("div", ns - F.pmod(ns, F.lit(by)), F.lit(by))
 
 
 def time_bucket(ns: Column) -> Column:
