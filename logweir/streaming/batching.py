@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ def slice_batches(df: DataFrame, cfg: BatchConfig, partition: str, order: str, s
     over a sorted stream of Arrow batches, so no partition is held in memory.
     """
     laid = df.repartition(partition).sortWithinPartitions(partition, order)
-    fields = laid.schema.add("batch", "bigint")
+    fields = T.StructType([*laid.schema.fields, T.StructField("batch", T.LongType())])
 
     def run(frames):
         key = nbytes = rows = since = None
