@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from logweir.llm.common import table, written
+from logweir.llm.media import analyse_media, encode_media
 from logweir.llm.mixing import mix_documents
 from logweir.llm.packing import place_pieces, tokenize_pieces
 from logweir.llm.sharding import shard_documents
@@ -30,3 +31,8 @@ def op2_packing(spark, sf_dir):
     digests = ids_digest(pieces, ["doc_id", "piece", "start", "length"]).drop("n_ids")
     placed = place_pieces(digests, keep=("doc_id", "piece", "start", "ids_crc32"))
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+def op4_media(spark, sf_dir):
+    media = encode_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return analyse_media(media).drop("clips")

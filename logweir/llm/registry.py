@@ -2,7 +2,7 @@
 
 from logweir.llm import queries_data as data
 
-QUERIES = {f.__name__: f for f in (data.op1_token_output, data.op2_packing, data.op3_mixing, data.op10_sharding)}
+QUERIES = {f.__name__: f for f in (data.op1_token_output, data.op2_packing, data.op3_mixing, data.op4_media, data.op10_sharding)}
 ORACLES: dict[str, str] = {}
 
 
