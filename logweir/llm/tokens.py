@@ -49,9 +49,9 @@ class WordTokenizer:
         split = [x.encode("utf-8", "surrogatepass").split() if x else [] for x in texts]
         if len(self._words) > CACHE_WORDS:
             self._words.clear()
-        new = set().union(*split) - self._words.keys() if split else set()
+        new = [w for w in set().union(*split) if w not in self._words]
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self._words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
