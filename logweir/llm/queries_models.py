@@ -1,10 +1,16 @@
 """Queries opN over whole tables: models and searches."""
 
 from logweir.llm.common import table
+from logweir.llm.pii import pii_digest, train_pii
 from logweir.llm.quality import quality
 from logweir.llm.toxicity import toxicity
 
 
+def op5_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_digest(docs, train_pii(docs))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"])
 
