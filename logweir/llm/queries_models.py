@@ -1,6 +1,7 @@
 """Queries opN over whole tables: models and searches."""
 
 from logweir.llm.common import table
+from logweir.llm.neardup import near_duplicates
 from logweir.llm.pii import pii_digest, train_pii
 from logweir.llm.quality import quality
 from logweir.llm.toxicity import toxicity
@@ -17,3 +18,7 @@ def op7_toxicity(spark, sf_dir):
 
 def op9_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+def op8_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
