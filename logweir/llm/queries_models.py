@@ -1,5 +1,6 @@
 """Queries opN over whole tables: models and searches."""
 
+from logweir.llm.ann import nearest
 from logweir.llm.common import table
 from logweir.llm.neardup import near_duplicates
 from logweir.llm.pii import pii_digest, train_pii
@@ -22,3 +23,8 @@ def op9_quality(spark, sf_dir):
 
 def op8_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_nearest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
