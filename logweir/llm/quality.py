@@ -161,14 +161,17 @@ def map_texts(df: DataFrame, work, fields: str, keep: list[str], text: str = "te
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     names = [*keep, *StructType.fromDDL(fields).names]
 
+    place = keep.index(text) if text in keep else len(keep)
+
     def run(batches):
         for batch in batches:
-            texts = batch.column(len(keep))
+            texts = batch.column(place)
             for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist(), 2_000_000):
                 cols = work(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), *cols], names)
 
-    return df.select(*keep, F.col(text).cast("string")).mapInArrow(run, f"{kinds}, {fields}" if kinds else fields)
+    read = df.select(*keep) if text in keep else df.select(*keep, F.col(text).cast("string"))
+    return read.mapInArrow(run, f"{kinds}, {fields}" if kinds else fields)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Quadratic | None:
