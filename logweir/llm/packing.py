@@ -23,18 +23,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.llm.common import written
-from logweir.llm.tokens import WordTokenizer, slices, vocabulary
+from logweir.llm.tokens import slices, tokenizer, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length int, ids array<int>"
 
 
-def tokenize_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int | None = 1) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, capacity: int = 4096, vocab: str | None = None, end_id: int | None = 1) -> DataFrame:
     """doc_id, piece, start, length, ids of ``docs`` (doc_id, text)."""
-    path = tokenizer or vocabulary()
+    path = vocab or vocabulary()
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        tok = WordTokenizer(path)
+        tok = tokenizer(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
@@ -146,7 +146,7 @@ def place_pieces(pieces: DataFrame, capacity: int = 4096, keep: tuple[str, ...]
     return placed.mapInArrow(take, f"{out}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int | None = 1) -> tuple[DataFrame, DataFrame]:
+def pack_documents(docs: DataFrame, capacity: int = 4096, vocab: str | None = None, end_id: int | None = 1) -> tuple[DataFrame, DataFrame]:
     """(pieces with ids, placements): join them on (doc_id, piece, start) to write sequences."""
-    pieces = written(tokenize_pieces(docs, capacity, tokenizer, end_id), "pack-pieces")
+    pieces = written(tokenize_pieces(docs, capacity, vocab, end_id), "pack-pieces")
     return pieces, place_pieces(pieces, capacity)

@@ -21,18 +21,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.llm.common import shared_folder
-from logweir.llm.tokens import WordTokenizer, slices, vocabulary
+from logweir.llm.tokens import slices, tokenizer, vocabulary
 
 SCHEMA = "doc_id long, file_no int, file_start long, n_tokens long, ids array<int>"
 
 
-def write_token_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = 2, bloom_fpp: float = 0.01, stripe_bytes: int = 64 << 20) -> None:
+def write_token_ids(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int | None = 2, bloom_fpp: float = 0.01, stripe_bytes: int = 64 << 20) -> None:
     """Encode ``docs`` (doc_id, text) and write ORC files below ``folder``."""
-    path = tokenizer or vocabulary()
+    path = vocab or vocabulary()
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
-        tok, place, number = WordTokenizer(path), 0, TaskContext.get().partitionId()
+        tok, place, number = tokenizer(path), 0, TaskContext.get().partitionId()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):

@@ -2,62 +2,132 @@
 
 The vocabulary's normaliser and splitter never join or look across ASCII white
 space, so a text's ids are those of its white-space words one after another.
-Each task keeps a bounded table of word to ids; words not yet in it are encoded
-many at a time. The result equals encoding the whole text at once.
+Each Python worker keeps bounded tables, for all its tasks, of words and of the
+pieces that words are split into. Pieces not yet known are merged many at a
+time by the vocabulary's own merge model; words with characters whose
+normalisation is not one to one go through the whole tokenizer. The result
+equals encoding the whole text at once.
 """
 
+import json
 import os
+import re
+import unicodedata
 
 import numpy as np
 
-#: Words kept per task before the table starts anew; about 100 MB.
-CACHE_WORDS = 400_000
-#: Words encoded by one call, between separators.
-CALL_WORDS = 2_000
+#: Entries kept per worker before a table starts anew; about 100 MB each.
+CACHE_WORDS = 500_000
+#: Pieces merged by one call.
+CALL_WORDS = 4_000
+_MARK = b"\xff\xff\xff\xff"
+
+# Characters that lower-casing and NFC map one by one, by class.
+_PLAIN = [chr(c) for c in range(33, 0x130) if not 127 <= c <= 160]
+_of = lambda kind: "".join(map(re.escape, (c for c in _PLAIN if unicodedata.category(c)[0] == kind)))
+_OTHER = "".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] not in "LN")
+_ODD = re.compile("[^\n" + "".join(map(re.escape, _PLAIN)) + "]")
+#: The splitter's pattern over those characters, with the line end between words.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[{_OTHER}]+|\n")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The usual letters for bytes in byte-level vocabularies: printable ones stand for themselves."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordTokenizer:
+    """Made for the word-level byte-pair vocabularies: pieces end in a suffix, letters are bytes."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self._tok = Tokenizer.from_file(path)
         self._words: dict[bytes, bytes] = {}
-        mark = self._tok.encode("\x00", add_special_tokens=False).ids
-        self._mark = mark[0] if len(mark) == 1 else None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, self._light = spec["model"], None
+        split = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        known = split and split[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        suffix = model.get("end_of_word_suffix")
+        if known and suffix and len(model["vocab"]) < 1 << 16:
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            self._light = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix))
+            self._light.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self._ends = np.zeros(1 << 16, bool)
+            self._ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+            self._letters = _byte_letters()
+            self._special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
+            self._pieces = {"\n": _MARK}
 
-    def _ids(self, text: str) -> list[int]:
-        return self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _merge(self, new: list[str]) -> None:
+        """Ids of pieces: each ends with the only one of its tokens that has the suffix."""
+        for k in range(0, len(new), CALL_WORDS):
+            some = new[k:k + CALL_WORDS]
+            text = " ".join(some)
+            if not text.isascii():
+                text = " ".join(w if w.isascii() else w.encode().decode("latin-1").translate(self._letters) for w in some)
+            ids = np.array(self._light.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist(), strict=True):
+                self._pieces[w] = raw[start:end]
+                start = end
 
     def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if b"\x00" not in w] if self._mark is not None else []
-        for k in range(0, len(plain), CALL_WORDS):
-            some = plain[k:k + CALL_WORDS]
-            ids = np.array(self._ids(" \x00 ".join(w.decode() for w in some) + " \x00"), "<u4")
-            ends = np.flatnonzero(ids == self._mark)
-            if len(ends) == len(some):
-                raw, start = ids.tobytes(), 0
-                for w, end in zip(some, (ends * 4).tolist()):
-                    self._words[w] = raw[start:end]
-                    start = end + 4
-        for w in new:  # words that hold the separator
-            if w not in self._words:
-                self._words[w] = np.array(self._ids(w.decode()), "<u4").tobytes()
+        texts = [w.decode("utf-8", "surrogatepass") for w in new]
+        plain = None
+        if self._light is not None:
+            joined = "\n".join(texts)
+            if not _ODD.search(joined) and not self._special.search(joined):
+                plain, odd = texts, []
+            else:
+                bad = [bool(_ODD.search(t) or self._special.search(t)) for t in texts]
+                odd = [i for i, b in enumerate(bad) if b]
+                plain = [t for t, b in zip(texts, bad) if not b]
+                joined, new = "\n".join(plain), [w for w, b in zip(new, bad) if not b] + [new[i] for i in odd]
+                odd = [texts[i] for i in odd]
+            if plain:
+                pieces = _PIECES.findall(joined.lower())
+                if len(self._pieces) > CACHE_WORDS:
+                    self._pieces = {"\n": _MARK}
+                self._merge([p for p in set(pieces) if p not in self._pieces])
+                self._words.update(zip(new, b"".join(map(self._pieces.__getitem__, pieces)).split(_MARK), strict=False))
+                new = new[len(plain):]
+        else:
+            odd = texts
+        if odd:
+            for w, e in zip(new, self._tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                self._words[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         split = [x.encode("utf-8", "surrogatepass").split() if x else [] for x in texts]
         if len(self._words) > CACHE_WORDS:
-            self._words.clear()
-        new = [w for w in set().union(*split) if w not in self._words]
+            self._words = {}
+        words = self._words
+        new = [w for w in set().union(*split) if w not in words]
         if new:
             self._learn(new)
-        get = self._words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get = words.__getitem__
+        return [b"".join(map(get, s)) for s in split]
+
+
+_made: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """This worker's tokenizer, with what it has learnt in earlier tasks."""
+    if path not in _made:
+        _made.clear()
+        _made[path] = WordTokenizer(path)
+    return _made[path]
 
 
 def slices(lengths: list[int], most: int = 4_000_000):
-    """(start, end) of runs of rows of about ``most`` characters; a longer row is a run by itself."""
+    """(start, end) of runs of rows of about ``most`` bytes; a longer row is a run by itself."""
     start = total = 0
     for i, n in enumerate(lengths):
         if i > start and total + n > most:
