@@ -38,7 +38,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = 4096, vocab: str | None = N
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
-                raw = [x + end for x in tok.encode(texts.slice(a, b - a).to_pylist())]
+                raw = [x + end for x in tok.encode(texts.slice(a, b - a).cast(pa.binary()).to_pylist())]
                 counts = np.array([len(x) // 4 for x in raw], np.int64)
                 parts = np.maximum(1, -(-counts // capacity))
                 row = np.repeat(np.arange(b - a), parts)
@@ -118,7 +118,7 @@ def place_pieces(pieces: DataFrame, capacity: int = 4096, keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank), pa.array(np.full(len(length), task, np.int32))], [*batch.schema.names, "_rank", "_task"])
 
     order = ["length", *[c for c in ("doc_id", "piece") if c in keep]]
-    narrow = pieces.select(*keep, F.col("length").cast("int").alias("length"))
+    narrow = pieces.select(*keep, F.col("length").cast("int").alias("length"))  # read twice: once for the ranges
     dealt = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
     ranked = written(dealt.mapInArrow(number, f"{schema.rsplit(', ', 1)[0] + ', ' if keep else ''}length int, _rank long, _task int"), "pack-ranks")
     counts = ranked.groupBy("length", "_task").agg(F.count("*").alias("_n"))

@@ -36,7 +36,7 @@ def write_token_ids(docs: DataFrame, folder: str, vocab: str | None = None, end_
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
-                raw = [x + end for x in tok.encode(texts.slice(a, b - a).to_pylist())]
+                raw = [x + end for x in tok.encode(texts.slice(a, b - a).cast(pa.binary()).to_pylist())]
                 counts = np.array([len(x) // 4 for x in raw], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
@@ -56,7 +56,8 @@ def read_token_ids(spark, folder: str) -> DataFrame:
     rows = spark.read.schema(SCHEMA).orc(folder)
     totals = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = totals.select("file_no", before.alias("_before"))
+    # Two numbers a file: a million files are 16 MB.
+    places = F.broadcast(totals.select("file_no", before.alias("_before")))
     return rows.join(places, "file_no").select("doc_id", (F.col("_before") + F.col("file_start")).alias("start"), "n_tokens", "ids")
 
 

@@ -102,15 +102,15 @@ class WordTokenizer:
             for w, e in zip(new, self._tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
                 self._words[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [x.encode("utf-8", "surrogatepass").split() if x else [] for x in texts]
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers; null counts as empty."""
+        split = [x.split() if x else [] for x in texts]
         if len(self._words) > CACHE_WORDS:
             self._words = {}
         words = self._words
-        new = [w for w in set().union(*split) if w not in words]
+        new = {w for s in split for w in s if w not in words}
         if new:
-            self._learn(new)
+            self._learn(list(new))
         get = words.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
