@@ -16,11 +16,11 @@ import unicodedata
 
 import numpy as np
 
-#: Entries kept per worker before a table starts anew; about 100 MB each.
-CACHE_WORDS = 500_000
+#: Entries that a worker keeps in a table. Frequent words come early; what comes when a table is full is forgotten.
+CACHE_WORDS = 300_000
 #: Pieces merged by one call.
 CALL_WORDS = 4_000
-_MARK = b"\xff\xff\xff\xff"
+_MARK = b"\xff\xff"
 
 # Characters that lower-casing and NFC map one by one, by class.
 _PLAIN = [chr(c) for c in range(33, 0x130) if not 127 <= c <= 160]
@@ -49,11 +49,11 @@ class WordTokenizer:
         self._words: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, self._light = spec["model"], None
+        model, self._light, self._kind = spec["model"], None, "<u4"
         split = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
         known = split and split[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         suffix = model.get("end_of_word_suffix")
-        if known and suffix and len(model["vocab"]) < 1 << 16:
+        if known and suffix and len(model["vocab"]) < 0xFFFF:
             merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
             self._light = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix))
             self._light.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
@@ -61,7 +61,7 @@ class WordTokenizer:
             self._ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
             self._letters = _byte_letters()
             self._special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
-            self._pieces = {"\n": _MARK}
+            self._pieces, self._kind = {"\n": _MARK}, "<u2"
 
     def _merge(self, new: list[str]) -> None:
         """Ids of pieces: each ends with the only one of its tokens that has the suffix."""
@@ -70,9 +70,9 @@ class WordTokenizer:
             text = " ".join(some)
             if not text.isascii():
                 text = " ".join(w if w.isascii() else w.encode().decode("latin-1").translate(self._letters) for w in some)
-            ids = np.array(self._light.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self._light.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
             raw, start = ids.tobytes(), 0
-            for w, end in zip(some, ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist(), strict=True):
+            for w, end in zip(some, ((np.flatnonzero(self._ends[ids]) + 1) * 2).tolist(), strict=True):
                 self._pieces[w] = raw[start:end]
                 start = end
 
@@ -91,28 +91,39 @@ class WordTokenizer:
                 odd = [texts[i] for i in odd]
             if plain:
                 pieces = _PIECES.findall(joined.lower())
-                if len(self._pieces) > CACHE_WORDS:
-                    self._pieces = {"\n": _MARK}
-                self._merge([p for p in set(pieces) if p not in self._pieces])
-                self._words.update(zip(new, b"".join(map(self._pieces.__getitem__, pieces)).split(_MARK), strict=False))
+                more = [p for p in set(pieces) if p not in self._pieces]
+                self._merge(more)
+                # No id is 0xFFFF, so two such bytes at an even place are a mark.
+                raw = np.frombuffer(b"".join(map(self._pieces.__getitem__, pieces)), "<u2")
+                ends = np.append(np.flatnonzero(raw == 0xFFFF) * 2, raw.nbytes).tolist()
+                raw, start = raw.tobytes(), 0
+                for w, end in zip(new, ends):
+                    self._words[w] = raw[start:end]
+                    start = end + 2
                 new = new[len(plain):]
+                if len(self._pieces) > CACHE_WORDS:
+                    for p in more:
+                        del self._pieces[p]
         else:
             odd = texts
         if odd:
             for w, e in zip(new, self._tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                self._words[w] = np.array(e.ids, "<u4").tobytes()
+                self._words[w] = np.array(e.ids, self._kind).tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [x.split() if x else [] for x in texts]
-        if len(self._words) > CACHE_WORDS:
-            self._words = {}
+        # A-Z may go first, as the vocabulary lower-cases, but for texts that may hold special tokens.
+        split = [(x if b"<|" in x or self._light is None else x.lower()).split() if x else [] for x in texts]
         words = self._words
-        new = {w for s in split for w in s if w not in words}
+        new = list({w for s in split for w in s if w not in words})
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        out = [b"".join(map(get, s)) for s in split]
+        if len(words) > CACHE_WORDS:
+            for w in new:
+                del words[w]
+        return out if self._kind == "<u4" else [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in out]
 
 
 _made: dict[str, WordTokenizer] = {}
