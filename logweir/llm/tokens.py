@@ -17,7 +17,7 @@ import unicodedata
 import numpy as np
 
 #: Entries that a worker keeps in a table. Frequent words come early; what comes when a table is full is forgotten.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Pieces merged by one call.
 CALL_WORDS = 4_000
 _MARK = b"\xff\xff"
@@ -45,7 +45,8 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self._tok = Tokenizer.from_file(path)
+
+        self._path, self._whole = path, None
         self._words: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -63,6 +64,15 @@ class WordTokenizer:
             self._special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
             self._pieces, self._kind = {"\n": _MARK}, "<u2"
 
+    @property
+    def _tok(self):
+        """The whole tokenizer, loaded when a word needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._path)
+        return self._whole
+
     def _merge(self, new: list[str]) -> None:
         """Ids of pieces: each ends with the only one of its tokens that has the suffix."""
         for k in range(0, len(new), CALL_WORDS):
@@ -137,7 +147,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return _made[path]
 
 
-def slices(lengths: list[int], most: int = 4_000_000):
+def slices(lengths: list[int], most: int = 2_000_000):
     """(start, end) of runs of rows of about ``most`` bytes; a longer row is a run by itself."""
     start = total = 0
     for i, n in enumerate(lengths):
