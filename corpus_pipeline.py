@@ -22,11 +22,20 @@ from logweir.llm.quality import THRESHOLD, score_quality, train_quality
 ORACLE_SQL = None
 
 
-def _measured(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of rows whose text may have changed, with n_chars of the text as it is now."""
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(dict(rows.dtypes)["n_chars"]))
-    return rows.select(*columns)
+NEEDED = ("doc_id", "text", "source")
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    """The columns that stages work with; all others in one, so no name of theirs can clash."""
+    extra = [F.col(f"`{c}`") for c in docs.columns if c not in NEEDED]
+    return docs.select(*NEEDED, (F.struct(*extra) if extra else F.lit(None).cast("string")).alias("_extra"))
+
+
+def _wide(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, with n_chars of the text as it is now."""
+    kinds = dict(docs.dtypes)
+    other = lambda c: F.length("text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col("_extra").getField(c).alias(c)
+    return rows.select(*[F.col(c) if c in NEEDED else other(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +43,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = train_quality(docs, table(spark, sf_dir, "labels"))
     if model is None:  # nothing to learn from: nothing is rejected
         return docs
-    scored = score_quality(docs, model, docs.columns)
-    return scored.filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    scored = score_quality(_narrow(docs), model, [*NEEDED, "_extra"])
+    return _wide(scored.filter(F.col("score") >= THRESHOLD), docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +54,14 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind."""
-    return _measured(redact_documents(docs, train_pii(docs)), docs.columns)
+    return _wide(redact_documents(_narrow(docs), train_pii(docs)), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per draw of the mix, in shards, shuffled within each."""
-    drawn = drawn_rows(mix_documents(docs))
+    drawn = drawn_rows(mix_documents(_narrow(docs)))
     laid = drawn.repartitionByRange("shard", "shuffle_key").sortWithinPartitions("shard", "shuffle_key")
-    return _measured(laid, docs.columns)
+    return _wide(laid, docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

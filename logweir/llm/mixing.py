@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from logweir.llm.common import word_count, written
 
 BLOCKS = 1024
+OWN = ("size", "source_size", "target", "taken", "draws", "passes", "rest", "_block", "_source", "_before", "_base", "_part", "_shards", "_p_source", "_p_block")
 WEIGHTS = (5, 2, 1)
 MOST = 3
 
@@ -144,6 +145,7 @@ def plan_mix(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
 def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 3, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """All rows and columns with size, source_size, target, taken and ``draws``, an array of (shard, words)."""
     block = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(BLOCKS)).cast("int")
+    docs = docs.drop(*(c for c in OWN if c not in (source, text, key)))
     rows = docs.withColumns({"size": word_count(F.col(text)), "_block": block, "_source": F.col(source)})
     sums = rows.groupBy(F.col("_source").alias("source"), "_block").agg(F.sum("size").alias("_words"))
     plan = plan_mix(written(sums, "mix-words"), shards, seed).withColumnsRenamed({"source": "_p_source", "_block": "_p_block"})

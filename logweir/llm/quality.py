@@ -158,8 +158,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Quadratic | None:
 
 def map_texts(df: DataFrame, work, fields: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with ``fields`` that ``work(list of texts)`` gives as columns, a few MB of text at a time."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    names = [*keep, *StructType.fromDDL(fields).names]
+    schema = StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(fields).fields])
+    names = schema.names
 
     place = keep.index(text) if text in keep else len(keep)
 
@@ -171,7 +171,7 @@ def map_texts(df: DataFrame, work, fields: str, keep: list[str], text: str = "te
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), *cols], names)
 
     read = df.select(*keep) if text in keep else df.select(*keep, F.col(text).cast("string"))
-    return read.mapInArrow(run, f"{kinds}, {fields}" if kinds else fields)
+    return read.mapInArrow(run, schema)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Quadratic | None:

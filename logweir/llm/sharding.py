@@ -9,7 +9,8 @@ capacity allows, each as near as it can to an even share of what is left.
 
 Empty and null texts are groups of their own; a null text has no bytes, every
 row weighs one more than its bytes. An empty table gives an empty result.
-Repeated rows take separate slots.
+Repeated rows take separate slots. Input columns with a name of OWN are left
+out: the operator's take their place.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from logweir.llm.common import written
 
+OWN = ("size", "shard", "slot", "_cell", "_part", "_base", "_n", "_bytes", "_rows", "_sum", "_in_cell", "_in_shard")
 CELL_BITS = 14
 #: A group's rows are numbered in this many parts at once, so a hot group is never one task.
 PARTS = 512
@@ -79,6 +81,7 @@ def _prefix(sizes: DataFrame) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All rows and columns with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard)."""
+    docs = docs.drop(*(c for c in OWN if c not in (text, key)))
     rows = docs.withColumns({"size": text_size(F.col(text)), "_cell": text_cell(F.col(text)), "_part": F.pmod(F.xxhash64(key, F.lit(10)), F.lit(PARTS)).cast("int")})
     counts = written(rows.groupBy("_cell", "_part").agg(F.count("*").alias("_rows"), F.sum("size").alias("_bytes")), "shard-cells")
     cells = written(_prefix(counts.groupBy("_cell").agg(F.sum("_bytes").alias("_bytes"))), "shard-prefix")

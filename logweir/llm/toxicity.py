@@ -298,6 +298,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROW
         return [pa.array([held[0].features(t) for t in texts], pa.list_(pa.float64()))]
 
     x = map_texts(some, count, "x array<double>", ["doc_id", "y"]).groupBy("y", "x").agg(F.count("*").alias("n")).collect()
+    if {r["y"] for r in x} != {0, 1}:
+        return ToxicModel()
     data = np.array([r["x"] for r in x]), np.array([r["y"] for r in x], float), np.array([r["n"] for r in x])
     model.weights = _fit_weights(np.repeat(data[0], data[2], axis=0), np.repeat(data[1], data[2]))
     return model
