@@ -22,6 +22,18 @@ def shared_folder(spark, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch: documents are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; its session sends at most BATCH_ROWS rows to Python at a time, unless it is set to fewer."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here and survives lost executors."""
     folder = shared_folder(df.sparkSession, what)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.avi import avi_to_payload, payload_to_avi, shots
+from logweir.llm.common import small_batches
 from logweir.llm.tokens import slices
 
 CLIP = "struct<clip: int, first_frame: int, last_frame: int, start_ms: long, end_ms: long>"
@@ -30,7 +31,7 @@ def _each(df: DataFrame, work, schema: str, most: int) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield work(part)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def encode_media(docs: DataFrame) -> DataFrame:

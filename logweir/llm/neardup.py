@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import written
+from logweir.llm.common import small_batches, written
 from logweir.llm.quality import map_texts
 from logweir.llm.shingles import WORDS, band_keys, jaccard_counts, set_fingerprint, shingle_set, superminhash
 
@@ -77,7 +77,7 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int =
     some = texts.join(ids, "doc_id", "left_semi")
     left = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct()
+    return small_batches(both.select("a", "b", "ta", "tb")).mapInArrow(check, "a long, b long").distinct()
 
 
 def _sizes_fit(percent: int):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import written
+from logweir.llm.common import small_batches, written
 from logweir.llm.tokens import slices, tokenizer, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length int, ids array<int>"
@@ -50,7 +50,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = 4096, vocab: str | None = N
                 cols = [keys.slice(a, b - a).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), ids]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(cut, PIECES)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from logweir.llm.common import held_out, training_rows
+from logweir.llm.common import held_out, small_batches, training_rows
 from logweir.llm.tokens import slices
 
 TRAINING_ROWS = 12_000
@@ -171,7 +171,7 @@ def map_texts(df: DataFrame, work, fields: str, keep: list[str], text: str = "te
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), *cols], names)
 
     read = df.select(*keep) if text in keep else df.select(*keep, F.col(text).cast("string"))
-    return read.mapInArrow(run, schema)
+    return small_batches(read).mapInArrow(run, schema)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Quadratic | None:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import shared_folder
+from logweir.llm.common import shared_folder, small_batches
 from logweir.llm.tokens import slices, tokenizer, vocabulary
 
 SCHEMA = "doc_id long, file_no int, file_start long, n_tokens long, ids array<int>"
@@ -48,7 +48,7 @@ def write_token_ids(docs: DataFrame, folder: str, vocab: str | None = None, end_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(bloom_fpp), "orc.create.index": "true", "orc.stripe.size": str(stripe_bytes), "compression": "zstd"}
-    dealt.mapInArrow(encode, SCHEMA).write.options(**options).orc(folder)
+    small_batches(dealt).mapInArrow(encode, SCHEMA).write.options(**options).orc(folder)
 
 
 def read_token_ids(spark, folder: str) -> DataFrame:
@@ -75,7 +75,7 @@ def ids_digest(rows: DataFrame, keep: list[str], ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, [*keep, "ids_crc32", "n_ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
-    return rows.select(*keep, ids).mapInArrow(digest, f"{fields}, ids_crc32 long, n_ids long")
+    return small_batches(rows.select(*keep, ids)).mapInArrow(digest, f"{fields}, ids_crc32 long, n_ids long")
 
 
 def token_output(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
