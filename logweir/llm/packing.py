@@ -141,7 +141,8 @@ def place_pieces(pieces: DataFrame, capacity: int = 4096, keep: tuple[str, ...]
             seq = plan["bin"][at] + rank - plan["rank"][at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(plan["offset"][at])], [*kept, "sequence_id", "offset"])
 
-    placed = ranked.join(bases, ["length", "_task"]).select(*keep, "length", "_rank", "_task", "_base")
+    # A range holds few lengths: bases have about a row per task and length.
+    placed = ranked.join(F.broadcast(bases), ["length", "_task"]).select(*keep, "length", "_rank", "_task", "_base")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*keep, "length").schema)
     return placed.mapInArrow(take, f"{out}, sequence_id long, offset long")
 

@@ -17,7 +17,7 @@ import unicodedata
 import numpy as np
 
 #: Entries that a worker keeps in a table. Frequent words come early; what comes when a table is full is forgotten.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 #: Pieces merged by one call.
 CALL_WORDS = 4_000
 _MARK = b"\xff\xff"
