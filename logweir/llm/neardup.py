@@ -204,5 +204,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     counts = marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
     gone, repeated = counts.filter("NOT kept").select("doc_id"), counts.filter("kept AND n > 1").select("doc_id")
     rest = docs.join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():  # no doc_id is there twice: one pass over the texts is enough
+        return rest.select(*docs.columns)
     once = rest.join(repeated, "doc_id", "left_anti")
     return once.unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
