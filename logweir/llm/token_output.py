@@ -15,13 +15,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import shared_folder, small_batches
-from logweir.llm.tokens import slices, tokenizer, vocabulary
+from logweir.llm.common import BATCH_ROWS, shared_folder, small_batches
+from logweir.llm.tokens import gathered, tokenizer, vocabulary, with_end
 
 SCHEMA = "doc_id long, file_no int, file_start long, n_tokens long, ids array<int>"
 
@@ -29,21 +28,17 @@ SCHEMA = "doc_id long, file_no int, file_start long, n_tokens long, ids array<in
 def write_token_ids(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int | None = 2, bloom_fpp: float = 0.01, stripe_bytes: int = 64 << 20) -> None:
     """Encode ``docs`` (doc_id, text) and write ORC files below ``folder``."""
     path = vocab or vocabulary()
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         tok, place, number = tokenizer(path), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
-                raw = [x + end for x in tok.encode(texts.slice(a, b - a).cast(pa.binary()).to_pylist())]
-                counts = np.array([len(x) // 4 for x in raw], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(counts)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                starts = place + offsets[:-1]
-                place += int(offsets[-1])
-                cols = [keys.slice(a, b - a), pa.array(np.full(b - a, number, np.int32)), pa.array(starts), pa.array(counts), ids]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "file_no", "file_start", "n_tokens", "ids"])
+        for batch in gathered(batches):
+            ids, offsets = with_end(*tok.encode_column(batch.column(1)), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
+            starts = place + offsets[:-1]
+            place += int(offsets[-1])
+            cols = [batch.column(0), pa.array(np.full(batch.num_rows, number, np.int32)), pa.array(starts), pa.array(np.diff(offsets)), lists]
+            for a in range(0, batch.num_rows, BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([c.slice(a, BATCH_ROWS) for c in cols], ["doc_id", "file_no", "file_start", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))

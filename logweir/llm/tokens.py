@@ -1,12 +1,13 @@
-"""Exact, cached tokenisation of whole texts.
+"""Exact tokenisation of whole texts, a few MB at a time.
 
 The vocabulary's normaliser and splitter never join or look across ASCII white
 space, so a text's ids are those of its white-space words one after another.
-Each Python worker keeps bounded tables, for all its tasks, of words and of the
-pieces that words are split into. Pieces not yet known are merged many at a
-time by the vocabulary's own merge model; words with characters whose
-normalisation is not one to one go through the whole tokenizer. The result
-equals encoding the whole text at once.
+The texts of a few MB are split and their distinct words found as Arrow arrays;
+those words' distinct pieces are merged many at a time by the vocabulary's own
+merge model, and words with characters whose normalisation is not one to one go
+through the whole tokenizer. Ids then spread from distinct words to texts by
+array indexing, so nothing is kept from one call to the next. The result equals
+encoding each whole text at once.
 """
 
 import json
@@ -15,17 +16,19 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries that a worker keeps in a table. Frequent words come early; what comes when a table is full is forgotten.
-CACHE_WORDS = 120_000
+#: Bytes of text taken together, and so searched for distinct words; a longer text is taken by itself.
+TAKEN_BYTES = 6_000_000
 #: Pieces merged by one call.
 CALL_WORDS = 4_000
-_MARK = b"\xff\xff"
 
 # Characters that lower-casing and NFC map one by one, by class.
 _PLAIN = [chr(c) for c in range(33, 0x130) if not 127 <= c <= 160]
 _of = lambda kind: "".join(map(re.escape, (c for c in _PLAIN if unicodedata.category(c)[0] == kind)))
 _OTHER = "".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] not in "LN")
+_WIDE = re.compile("[^\x00-\x7f]+")
 _ODD = re.compile("[^\n" + "".join(map(re.escape, _PLAIN)) + "]")
 #: The splitter's pattern over those characters, with the line end between words.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[{_OTHER}]+|\n")
@@ -38,6 +41,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _spread(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` between ``offsets`` that ``at`` names, one after another, and their offsets."""
+    starts = offsets[at]
+    ends = np.concatenate([[0], np.cumsum(offsets[at + 1] - starts)])
+    where = np.repeat(starts - ends[:-1], np.diff(ends)) + np.arange(ends[-1])
+    return values[where], ends
+
+
+def _joined(words: pa.Array, by: str) -> str:
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary()))
+    return pc.binary_join(one, by.encode())[0].as_py().decode("utf-8", "replace")
+
+
 class WordTokenizer:
     """Made for the word-level byte-pair vocabularies: pieces end in a suffix, letters are bytes."""
 
@@ -45,102 +61,118 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-
-        self._path, self._whole = path, None
-        self._words: dict[bytes, bytes] = {}
+        self._path, self._whole, self._light = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, self._light, self._kind = spec["model"], None, "<u4"
+        model = spec["model"]
         split = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
         known = split and split[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         suffix = model.get("end_of_word_suffix")
-        if known and suffix and len(model["vocab"]) < 0xFFFF:
+        if known and suffix:
             merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-            self._light = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix))
+            self._light = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0))
             self._light.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-            self._ends = np.zeros(1 << 16, bool)
+            self._ends = np.zeros(max(model["vocab"].values()) + 1, bool)
             self._ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
             self._letters = _byte_letters()
             self._special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
-            self._pieces, self._kind = {"\n": _MARK}, "<u2"
 
-    @property
-    def _tok(self):
-        """The whole tokenizer, loaded when a word needs it."""
+    def _full(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of texts by the whole tokenizer, loaded when something needs it."""
         if self._whole is None:
             from tokenizers import Tokenizer
 
             self._whole = Tokenizer.from_file(self._path)
-        return self._whole
-
-    def _merge(self, new: list[str]) -> None:
-        """Ids of pieces: each ends with the only one of its tokens that has the suffix."""
-        for k in range(0, len(new), CALL_WORDS):
-            some = new[k:k + CALL_WORDS]
-            text = " ".join(some)
-            if not text.isascii():
-                text = " ".join(w if w.isascii() else w.encode().decode("latin-1").translate(self._letters) for w in some)
-            ids = np.array(self._light.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(some, ((np.flatnonzero(self._ends[ids]) + 1) * 2).tolist(), strict=True):
-                self._pieces[w] = raw[start:end]
-                start = end
-
-    def _learn(self, new: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "surrogatepass") for w in new]
-        plain = None
-        if self._light is not None:
-            joined = "\n".join(texts)
-            if not _ODD.search(joined) and not self._special.search(joined):
-                plain, odd = texts, []
-            else:
-                bad = [bool(_ODD.search(t) or self._special.search(t)) for t in texts]
-                odd = [i for i, b in enumerate(bad) if b]
-                plain = [t for t, b in zip(texts, bad) if not b]
-                joined, new = "\n".join(plain), [w for w, b in zip(new, bad) if not b] + [new[i] for i in odd]
-                odd = [texts[i] for i in odd]
-            if plain:
-                pieces = _PIECES.findall(joined.lower())
-                more = [p for p in set(pieces) if p not in self._pieces]
-                self._merge(more)
-                # No id is 0xFFFF, so two such bytes at an even place are a mark.
-                raw = np.frombuffer(b"".join(map(self._pieces.__getitem__, pieces)), "<u2")
-                ends = np.append(np.flatnonzero(raw == 0xFFFF) * 2, raw.nbytes).tolist()
-                raw, start = raw.tobytes(), 0
-                for w, end in zip(new, ends):
-                    self._words[w] = raw[start:end]
-                    start = end + 2
-                new = new[len(plain):]
-                if len(self._pieces) > CACHE_WORDS:
-                    for p in more:
-                        del self._pieces[p]
-        else:
-            odd = texts
-        if odd:
-            for w, e in zip(new, self._tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                self._words[w] = np.array(e.ids, self._kind).tobytes()
+        lists = [np.array(e.ids, np.uint32) for e in self._whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.uint32), *lists]), np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+
+    def _merge(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of pieces: each ends with the only one of its tokens that has the suffix."""
+        got = []
+        for k in range(0, len(pieces), CALL_WORDS):
+            text = _WIDE.sub(lambda m: m[0].encode().decode("latin-1").translate(self._letters), _joined(pieces.slice(k, CALL_WORDS), " "))
+            got.append(np.array(self._light.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate([np.empty(0, np.uint32), *got])
+        offsets = np.concatenate([[0], np.flatnonzero(self._ends[ids]) + 1])
+        if len(offsets) != len(pieces) + 1:
+            raise ValueError("the vocabulary does not end each piece by its suffix")
+        return ids, offsets
+
+    def _plain(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of words, joined by line ends, of characters that lower-casing maps one by one."""
+        pieces = pa.array(_PIECES.findall(joined.lower()) + ["\n"], pa.string()).dictionary_encode()
+        at, known = pieces.indices.to_numpy(), pieces.dictionary
+        gap = pc.index(known, "\n").as_py()
+        ids, offsets = self._merge(pa.concat_arrays([known.slice(0, gap), known.slice(gap + 1)]))
+        offsets = np.insert(offsets, gap, offsets[gap])  # a line end has no ids
+        values, ends = _spread(ids, offsets, at)
+        return values, np.concatenate([[0], ends[np.flatnonzero(at == gap)]])
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of distinct words; an empty one has none."""
+        if not len(words):
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        joined = _joined(words, "\n")
+        if not _ODD.search(joined) and not self._special.search(joined):
+            return self._plain(joined)
+        texts = joined.split("\n")
+        odd = np.array([bool(_ODD.search(t) or self._special.search(t)) for t in texts])
+        ids, offsets = self._plain("\n".join(t for t, o in zip(texts, odd) if not o))
+        if odd.all():
+            ids, offsets = ids[:0], np.zeros(1, np.int64)
+        more, ends = self._full([t for t, o in zip(texts, odd) if o])
+        place = np.empty(len(texts), np.int64)
+        place[~odd], place[odd] = np.arange((~odd).sum()), (~odd).sum() + np.arange(odd.sum())
+        return _spread(np.concatenate([ids, more]), np.concatenate([offsets, ends[1:] + len(ids)]), place)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column as one array, and each text's offsets; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.string(), safe=False), "")
+        if self._light is None:
+            return self._full([x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()])
+        # A-Z may go first, as the vocabulary lower-cases, but for texts that may hold special tokens.
+        lower = pc.ascii_lower(texts)
+        special = pc.match_substring(texts, "<|")
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, lower) if pc.any(special).as_py() else lower)
+        lists = split.offsets.to_numpy().astype(np.int64)
+        words = split.values.slice(int(lists[0]), int(lists[-1] - lists[0])).dictionary_encode()
+        values, ends = _spread(*self._words(words.dictionary), words.indices.to_numpy())
+        return values, ends[lists - lists[0]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers; null counts as empty."""
-        # A-Z may go first, as the vocabulary lower-cases, but for texts that may hold special tokens.
-        split = [(x if b"<|" in x or self._light is None else x.lower()).split() if x else [] for x in texts]
-        words = self._words
-        new = list({w for s in split for w in s if w not in words})
-        if new:
-            self._learn(new)
-        get = words.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        if len(words) > CACHE_WORDS:
-            for w in new:
-                del words[w]
-        return out if self._kind == "<u4" else [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in out]
+        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+        ids, at = self.encode_column(pa.array(texts, pa.binary()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at.tolist(), at[1:].tolist())]
+
+
+def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets with ``end_id`` after each text."""
+    if end_id is None:
+        return ids, offsets
+    return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
+
+
+def gathered(batches, column: int = 1, most: int = TAKEN_BYTES):
+    """The rows of Arrow batches in batches of about ``most`` bytes of text; a longer row is alone."""
+    group, total = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for a, b in slices(sizes, most):
+            n = sum(sizes[a:b])
+            if group and total + n > most:
+                yield pa.concat_batches(group)
+                group, total = [], 0
+            group.append(batch.slice(a, b - a))
+            total += n
+    if group:
+        yield pa.concat_batches(group)
 
 
 _made: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """This worker's tokenizer, with what it has learnt in earlier tasks."""
+    """This worker's tokenizer, made once for all its tasks."""
     if path not in _made:
         _made.clear()
         _made[path] = WordTokenizer(path)
