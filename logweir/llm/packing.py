@@ -15,40 +15,41 @@ A null or empty text is one piece with only its end id. Repeated rows are
 packed separately. An empty table gives an empty result.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import small_batches, written
-from logweir.llm.tokens import slices, tokenizer, vocabulary
+from logweir.llm.common import BATCH_ROWS, small_batches, written
+from logweir.llm.tokens import gathered, tokenizer, vocabulary, with_end
 
-PIECES = "doc_id long, piece int, start long, length int, ids array<int>"
+PIECES = "doc_id long, piece int, start long, length int, ids array<int>, ids_crc32 long"
 
 
 def tokenize_pieces(docs: DataFrame, capacity: int = 4096, vocab: str | None = None, end_id: int | None = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids of ``docs`` (doc_id, text)."""
+    """doc_id, piece, start, length, ids of ``docs`` (doc_id, text), and ids_crc32: unsigned, of the ids as little-endian unsigned 32-bit integers."""
     path = vocab or vocabulary()
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         tok = tokenizer(path)
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
-                raw = [x + end for x in tok.encode(texts.slice(a, b - a).cast(pa.binary()).to_pylist())]
-                counts = np.array([len(x) // 4 for x in raw], np.int64)
-                parts = np.maximum(1, -(-counts // capacity))
-                row = np.repeat(np.arange(b - a), parts)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-                start = piece * capacity
-                length = np.minimum(capacity, counts[row] - start)
-                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                cols = [keys.slice(a, b - a).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), ids]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids"])
+        for batch in gathered(batches):
+            ids, ends = with_end(*tok.encode_column(batch.column(1)), end_id)
+            counts = np.diff(ends)
+            parts = np.maximum(1, -(-counts // capacity))
+            row = np.repeat(np.arange(batch.num_rows), parts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = piece * capacity
+            length = np.minimum(capacity, counts[row] - start)
+            offsets = np.concatenate([[0], np.cumsum(length)])
+            raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), (offsets * 4).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
+            cols = [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), lists, pa.array(crc, pa.int64())]
+            for a in range(0, len(row), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([c.slice(a, BATCH_ROWS) for c in cols], ["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
 
     return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(cut, PIECES)
 

@@ -28,8 +28,7 @@ def op1_token_output(spark, sf_dir):
 
 def op2_packing(spark, sf_dir):
     pieces = written(tokenize_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")), "pack-pieces")
-    digests = written(ids_digest(pieces, ["doc_id", "piece", "start", "length"]).drop("n_ids"), "pack-digests")
-    placed = place_pieces(digests, keep=("doc_id", "piece", "start", "ids_crc32"))
+    placed = place_pieces(pieces, keep=("doc_id", "piece", "start", "ids_crc32"))
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
