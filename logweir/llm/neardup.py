@@ -12,7 +12,8 @@ buckets that still hold several components, members of different components
 are compared, in blocks that give just the pairs that pass: whatever is not
 compared is already connected, so no link between components is lost. Components are found by alternating large-star and
 small-star steps on tables in the shared folder: nothing that grows with the
-corpus comes to the driver.
+corpus comes to the driver. Joins with texts are merge joins by hint, so plans are
+the same at every size: lists of ids grow with the corpus and are not broadcast.
 
 Texts without words have an empty set and are linked with nothing. Rows with a
 null doc_id are linked with nothing and have a null component. Rows that repeat
@@ -74,7 +75,7 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int =
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = texts.join(ids, "doc_id", "left_semi")
+    some = texts.join(ids.hint("merge"), "doc_id", "left_semi")
     left = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return small_batches(both.select("a", "b", "ta", "tb")).mapInArrow(check, "a long, b long").distinct()
@@ -163,7 +164,7 @@ def compare_blocks(blocks: DataFrame, docs: DataFrame, words: int = WORDS, perce
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     needed = blocks.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(needed, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(needed.hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
     return blocks.join(texts, "id").groupBy("kind", "group", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -203,7 +204,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     marked = written(near_duplicates(docs, percent), "neardup-kept")
     counts = marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
     gone, repeated = counts.filter("NOT kept").select("doc_id"), counts.filter("kept AND n > 1").select("doc_id")
-    rest = docs.join(gone, "doc_id", "left_anti")
+    rest = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     if repeated.isEmpty():  # no doc_id is there twice: one pass over the texts is enough
         return rest.select(*docs.columns)
     once = rest.join(repeated, "doc_id", "left_anti")
