@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from logweir.llm.neardup import compare_blocks, connected_components, keep_one,
 from logweir.llm.quality import features, quality
 from logweir.llm.sharding import shard_documents
 from logweir.llm.token_output import ids_digest, token_output
-from logweir.llm.tokens import WordTokenizer, vocabulary
+from logweir.llm.tokens import WordTokenizer, gathered, vocabulary, with_end
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _cell int, size string"
@@ -58,6 +59,28 @@ def test_word_tokenizer_equals_whole_text():
         assert got == np.array(whole_ids(x), "<u4").tobytes(), x
 
 
+def test_encode_column_of_slices_and_odd_words():
+    w = WordTokenizer(vocabulary())
+    texts = ["skipped", None, "", " \t\n", "\u65e5\u672c \u03a3\u03c3", "word, word; " * 500, "a" * 3000, "<|endoftext|> B"]
+    ids, at = w.encode_column(pa.array(texts).slice(1))
+    for x, a, b in zip(texts[1:], at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == whole_ids(x), x
+    ids, at = w.encode_column(pa.array(["\u65e5\u672c"]))  # no plain word at all
+    assert ids.tolist() == whole_ids("\u65e5\u672c") and at.tolist() == [0, len(ids)]
+    assert w.encode_column(pa.array([], pa.string()))[1].tolist() == [0]
+    got, ends = with_end(np.array([7, 8, 9], np.uint32), np.array([0, 0, 2, 3]), 2)
+    assert got.tolist() == [2, 7, 8, 2, 9, 2] and ends.tolist() == [0, 1, 4, 6]
+
+
+def test_gathered_keeps_rows_and_order():
+    texts = ["x" * n for n in (3, 5, 40, 1, 1, 0)] + [None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array(texts[a:b], pa.string())], ["doc_id", "text"]) for a, b in ((0, 2), (2, 2), (2, 7))]
+    got = list(gathered(iter(batches), most=10))
+    assert [x.num_rows for x in got] == [2, 1, 4]
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(7))
+    assert list(gathered(iter([]))) == []
+
+
 def test_token_output(spark, docs, odd, none):
     got = ids_digest(token_output(docs.select("doc_id", "text")), ["doc_id", "start", "n_tokens"]).orderBy("doc_id").collect()
     at = 0
@@ -86,6 +109,7 @@ def check_packed(rows, capacity):
 
 def test_packing(docs, odd, none):
     pieces, placed = packing.pack_documents(docs.select("doc_id", "text"))
+    assert all(r.ids_crc32 == crc(r.ids) and r.length == len(r.ids) for r in pieces.collect())
     rows = placed.collect()
     total = sum(r.length for r in rows)
     assert check_packed(rows, 4096) == -(-total // 4096)
