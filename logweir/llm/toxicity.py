@@ -6,9 +6,11 @@ were looked at. Its trie is intersected with Levenshtein automata (insertion,
 deletion, substitution, swap): the product is made deterministic as words
 arrive and its states are shared by all words, so a word that is near no term
 leaves the automaton after a few letters. Spellings that clean training texts
-use are not misspellings, and a term that clean texts often come near has none. Around each hit a window of words is read: quotation
-marks and words of mention make it a quotation, which counts less than abuse.
-A small logistic model turns a text's hits into a score.
+use are not misspellings: each such word, and no other near word, is left out.
+Around each hit a window of words is read: quotation marks and words of mention
+make it a quotation, which counts less than abuse. A small logistic model turns
+a text's hits into a score; it is fitted on hits that leave out only the clean
+spellings of the other half of the texts, as for texts that were never seen.
 
 Learning uses at most ``limit`` labelled rows in hash order of doc_id. Null and
 empty texts have no hits; every row gets a score. Without labels of both
@@ -34,11 +36,11 @@ LEXICON_TERMS = 4_000
 THRESHOLD = 0.3
 #: Least share of toxic texts among the training texts that hold a term.
 PURITY = 0.9
-#: A term that this share of clean training texts comes near is matched exactly only.
-NEAR_RATE = 0.0005
 WINDOW = 8
 STEMS = range(4, 9)
 CACHE_WORDS = 400_000
+#: States of an automaton beyond which it is made anew.
+CACHE_STATES = 200_000
 WORD = re.compile(r"\w+")
 #: Words of mention, fixed values.
 MENTION = frozenset("said says say called calls quote quoted quotes quoting wrote writes term word words phrase mentioned meaning means cited".split())
@@ -46,16 +48,16 @@ QUOTES = '"“”«»„`'
 
 
 def allowed(term: str) -> int:
-    """Edits a term may be away: none below five letters, one below eight, two from there."""
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    """Edits a term may be away: none below four letters, one below eight, two from there."""
+    return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
 
 
 class TermAutomaton:
     """Deterministic product of a term trie and its Levenshtein automata, made on demand.
 
     A state is a set of (node, edits, owed): owed is the letter that a swap
-    still has to see. The first letter is never edited: it is what misspellers
-    keep. Stems match from the start of a word without edits.
+    still has to see. Any letter may be edited, the first too. Stems match from
+    the start of a word without edits.
     """
 
     DEAD = 0
@@ -86,7 +88,7 @@ class TermAutomaton:
         todo, seen = list(items), set(items)
         while todo:
             node, e, owed = todo.pop()
-            if owed or not node or e >= self.most[node]:
+            if owed or e >= self.most[node]:
                 continue
             for nxt in self.children[node].values():
                 item = (nxt, e + 1, "")
@@ -118,13 +120,13 @@ class TermAutomaton:
                     out.add((nxt, e, ""))
                     if e == 0 and self.stem[nxt]:
                         sticky = self.stem[nxt]
-                elif node and e < self.most[nxt]:
+                elif e < self.most[nxt]:
                     out.add((nxt, e + 1, ""))
                     if c in self.children[nxt]:
                         after = self.children[nxt][c]
                         if e < self.most[after]:
                             out.add((after, e + 1, letter))
-            if node and e < self.most[node]:
+            if e < self.most[node]:
                 out.add((node, e + 1, ""))
         got = self._state(self._close(out), sticky)
         self.steps[state][c] = got
@@ -155,19 +157,24 @@ class ToxicModel:
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
     spellings: frozenset = frozenset()
-    exact: frozenset = frozenset()
     weights: np.ndarray | None = None
 
 
 class Scorer:
     """Finds hits of a model in texts; words once seen are kept in a bounded table."""
 
-    def __init__(self, model: ToxicModel):
-        self.model, self.auto, self.known = model, TermAutomaton(model.terms, model.stems), {}
+    def __init__(self, model: ToxicModel, auto: TermAutomaton | None = None):
+        self.model, self.auto, self.known = model, auto or TermAutomaton(model.terms, model.stems), {}
+
+    def _trim(self):
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        if len(self.auto.steps) > CACHE_STATES:
+            self.auto._clear()
 
     def _match(self, word):
         got = self.auto.match(word)
-        if got and got[0] == "near" and (word in self.model.spellings or got[1] in self.model.exact):
+        if got and got[0] == "near" and word in self.model.spellings:
             return None
         return got
 
@@ -180,8 +187,7 @@ class Scorer:
                 self.known[w] = self._match(w)
         found = [w for w in distinct if self.known[w]]
         if not found:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
+            self._trim()
             return []
         out, want = [], set(found)
         spans = [m.span() for m in WORD.finditer(text)]
@@ -191,8 +197,7 @@ class Scorer:
             if w in want:
                 a, b = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1]
                 out.append((*self.known[w], quotation(text, a, *spans[i], b, words[max(0, i - WINDOW):i])))
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        self._trim()
         return out
 
     def features(self, text: str | None) -> list[float]:
@@ -283,21 +288,24 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROW
     # Spellings near a term that clean texts use are words of their own.
     def near(texts, held=[]):
         held or held.append(Scorer(model))
-        found = held[0].auto.match
-        rows = [[{"w": w, "t": m[1]} for w in set(words_of(t)) if (m := found(w)) and m[0] == "near"] for t in texts]
-        return [pa.array(rows, pa.list_(pa.struct([("w", pa.string()), ("t", pa.string())])))]
-
-    seen = map_texts(some, near, "w array<struct<w: string, t: string>>", ["doc_id", "y"]).select("y", "doc_id", F.explode("w").alias("w")).select("y", "doc_id", "w.*")
-    clean = seen.filter("y = 0").groupBy("w").agg(F.count("*").alias("n"))
-    model.spellings = frozenset(r["w"] for r in clean.orderBy(F.desc("n"), "w").limit(10 * LEXICON_TERMS).collect())
-    by_term = seen.groupBy("t").agg(F.count_distinct(F.when(F.col("y") == 0, F.col("doc_id"))).alias("n0"))
-    model.exact = frozenset(r["t"] for r in by_term.filter(F.col("n0") > max(2, NEAR_RATE * n[0])).limit(LEXICON_TERMS).collect())
+        rows = []
+        for t in texts:
+            rows.append([w for w in set(words_of(t)) if (m := held[0].auto.match(w)) and m[0] == "near"])
+            held[0]._trim()
+        return [pa.array(rows, pa.list_(pa.string()))]
+
+    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
+    seen = map_texts(some.filter("y = 0"), near, "w array<string>", ["doc_id"]).select(F.explode("w").alias("w"), half.alias("half"))
+    clean = seen.groupBy("w").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).collect()
+    model.spellings = frozenset(r["w"] for r in clean)
+    others = [ToxicModel(terms, stems, frozenset(r["w"] for r in clean if r[side] == other)) for side, other in (("hi", 1), ("lo", 0))]
 
     def count(texts, held=[]):
-        held or held.append(Scorer(model))
-        return [pa.array([held[0].features(t) for t in texts], pa.list_(pa.float64()))]
+        held or held.extend([one := Scorer(others[0]), Scorer(others[1], one.auto)])
+        return [pa.array([s.features(t) for t in texts], pa.list_(pa.float64())) for s in held]
 
-    x = map_texts(some, count, "x array<double>", ["doc_id", "y"]).groupBy("y", "x").agg(F.count("*").alias("n")).collect()
+    x = map_texts(some, count, "x0 array<double>, x1 array<double>", ["doc_id", "y"]).select("y", F.when(half == 0, F.col("x0")).otherwise(F.col("x1")).alias("x"))
+    x = x.groupBy("y", "x").agg(F.count("*").alias("n")).collect()
     if {r["y"] for r in x} != {0, 1}:
         return ToxicModel()
     data = np.array([r["x"] for r in x]), np.array([r["y"] for r in x], float), np.array([r["n"] for r in x])

@@ -315,6 +315,28 @@ def test_automaton_equals_edit_distance():
     assert auto.match("loweient") == ("stem", "lowei") and auto.match("lowei") is None and auto.match("idoit") == ("near", "idiot")
 
 
+def test_edits_at_every_position():
+    terms = ["idiot", "worthless", "scum"]
+    auto = toxicity.TermAutomaton(terms, [])
+    for t in terms:
+        for i in range(len(t)):
+            for w in {t[:i] + "1" + t[i + 1:], t[:i] + t[i + 1:], t[:i] + "x" + t[i:], t[:i] + t[i:i + 2][::-1] + t[i + 2:]} - {t}:
+                assert auto.match(w) == ("near", t), w
+    assert auto.match("cat") is None and auto.match("3dio7") is None
+
+
+def test_common_clean_words_near_a_term(spark):
+    """Clean words next to a term are no hits; its other near words are."""
+    rows = [(i, f"you are such a loser and i mean it {i}" if i % 2 else f"put it on the lower shelf beside window {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(docs, labels)
+    assert "loser" in model.terms and "lower" in model.spellings
+    s = toxicity.Scorer(model)
+    assert [s.hits(w) for w in ("lower", "shelf")] == [[], []]
+    assert [s.hits(w)[0][:2] for w in ("lozer", "1oser", "looser", "oser")] == [("near", "loser")] * 4
+
+
 def test_quotation_scores_less():
     model = toxicity.ToxicModel(["idiot"], [], weights=np.array([-3.0, 3, 1, 1, 1, 1, 1, 0.1]))
     s = toxicity.Scorer(model)
