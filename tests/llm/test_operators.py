@@ -265,6 +265,27 @@ def test_pii_adds_written_out_address(docs):
     assert base == [] and (not added or added[0][0] == "email")
 
 
+def test_pii_adds_written_out_addresses_however_common(spark, docs):
+    """What the method is to add is added on the given table, and on one that is full of it."""
+    probe = "please write to anna.smith (at) mail3.example.com today"
+    form = F.format_string("%s write to bob.jones%d (at) mail.example.org or call 212-555-0%d, card 4111.1111.1111.1111 ", "text", "doc_id", F.col("doc_id") % 900 + 100)
+    full = docs.select("doc_id", form.alias("text"))
+    for table in (docs, full):
+        assert [s[0] for s in pii.find_spans(probe, pii.train_pii(table))[1]] == ["email"]
+    model, rows = pii.train_pii(full), full.collect()
+    added = [{t.text[s[1]:s[2]] for s in pii.find_spans(t.text, model)[1]} for t in rows]
+    assert sum(f"bob.jones{t.doc_id} (at) mail.example.org" in a for t, a in zip(rows, added)) >= 0.9 * len(rows)
+    assert sum("4111.1111.1111.1111" in a for a in added) >= 0.9 * len(rows)
+
+
+def test_pii_proposals_without_labels():
+    """Proposals whose form could be personal data are no negatives; those that fail their check are."""
+    for good in ("anna (at) mail.example.com", "212-555-0100", "4111.1111.1111.1111", "10[.]0[.]0[.]1"):
+        assert [y for x, y in pii.training_spans(f"see {good} now") if y == 0 and x[5] + x[4] >= 12] == [], good
+    for bad, kind in (("met at noon. Then", 0), ("300,400,500,600", 1), ("4111.1111.1111.1112", 2), ("12/345/6789", 3)):
+        assert any(y == 0 and x[kind] and x[4] == len(bad) for x, y in pii.training_spans(f"we {bad}")), bad
+
+
 # -- 6: nearest neighbours --------------------------------------------------------------
 def test_nearest_recall_ties_and_odd_rows(spark):
     rng = np.random.default_rng(0)
