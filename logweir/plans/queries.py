@@ -123,6 +123,18 @@ def compacted_output(spark, sf_dir):
     return kept.orderBy("timestamp")
 
 
+@register("SELECT * FROM raw")
+def raw_scan(spark, sf_dir):
+    """The scan of all rows, replays too."""
+    return raw_logs(spark, sf_dir)
+
+
+@register('SELECT level, service, message, kafka_partition, kafka_offset, "timestamp", attributes FROM logs ORDER BY "timestamp"')
+def compacted_output_all(spark, sf_dir):
+    """What compaction writes, over all rows: each offset once, by timestamp."""
+    return dedup(raw_logs(spark, sf_dir)).orderBy("timestamp")
+
+
 # -- file statistics, pruning, compaction and lifecycle decisions ---------------------
 @register("SELECT * FROM files")
 def file_rollup_by_bucket(spark, sf_dir):
