@@ -11,7 +11,7 @@ from logweir.llm import avi, packing, pii, shingles, toxicity
 from logweir.llm.ann import nearest
 from logweir.llm.media import analyse_media, clip_rows, encode_media
 from logweir.llm.mixing import MOST, WEIGHTS, drawn_rows, mix_documents
-from logweir.llm.neardup import compare_blocks, connected_components, keep_one, near_duplicates
+from logweir.llm.neardup import compare_blocks, connected_components, keep_one, near_duplicates, verify
 from logweir.llm.quality import features, quality
 from logweir.llm.sharding import shard_documents
 from logweir.llm.token_output import ids_digest, token_output
@@ -427,6 +427,17 @@ def test_near_duplicates_equal_brute_force(spark, docs, odd, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_texts_of_a_repeated_id_are_told_apart(spark):
+    """Equal id, length and opening: a pair is confirmed on its own text."""
+    head = "the same opening words stand at the head of each of these texts "
+    a, b = head + " ".join(f"x{i:03d}" for i in range(300)), head + " ".join(f"y{i:03d}" for i in range(300))
+    assert len(a) == len(b)
+    docs = spark.createDataFrame([(1, b), (1, a), (2, a)], "doc_id long, text string").coalesce(1)
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert verify(pairs, docs).count() == 1
+    assert verify(pairs, docs.orderBy(F.desc("text"))).count() == 1
+
+
 def test_blocks_find_all_pairs(spark):
     texts = {i: f"a b c d e f g h {'x' if i % 3 else 'y'}" for i in range(12)}
     df = spark.createDataFrame([(0, 0, 0, 0, i, 2) for i in texts], "kind int, group long, i int, j int, id long, side int")
