@@ -25,7 +25,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.llm.common import small_batches, written
@@ -202,13 +202,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` without null doc_ids, and _id: a number of doc_id and text, in the order of doc_id."""
+    rows = docs.filter("doc_id IS NOT NULL").withColumn("_hash", F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit("")))
+    pairs = rows.select("doc_id", "_hash").distinct().repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash")
+    ids = written(pairs.withColumn("_id", F.monotonically_increasing_id()), "neardup-ids")
+    return rows.join(ids.hint("merge"), ["doc_id", "_hash"])
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with all columns, less all but one document of each group; repeated rows of a document go too."""
-    marked = written(near_duplicates(docs, percent), "neardup-kept")
-    counts = marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    gone, repeated = counts.filter("NOT kept").select("doc_id"), counts.filter("kept AND n > 1").select("doc_id")
-    rest = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    if repeated.isEmpty():  # no doc_id is there twice: one pass over the texts is enough
-        return rest.select(*docs.columns)
-    once = rest.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """``docs`` with all columns, less all but one document of each group; a row that repeats a doc_id and its text goes too.
+
+    Where a doc_id stands on several texts, each text is a document of its own.
+    """
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():  # one pass over the texts is enough
+        gone = written(near_duplicates(docs, percent), "neardup-kept").filter("NOT kept").select("doc_id")
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    rows = written(_numbered(docs), "neardup-numbered")
+    gone = written(near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), percent), "neardup-kept").filter("NOT kept").select(F.col("doc_id").alias("_id"))
+    rest = rows.join(gone.distinct().hint("merge"), "_id", "left_anti")
+    once = Window.partitionBy("_id").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])))
+    rest = rest.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    return rest.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

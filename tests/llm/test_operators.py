@@ -438,6 +438,17 @@ def test_texts_of_a_repeated_id_are_told_apart(spark):
     assert verify(pairs, docs.orderBy(F.desc("text"))).count() == 1
 
 
+def test_keep_one_decides_by_text(spark):
+    """A clean text stays, whichever other text its doc_id also stands on."""
+    a, near, clean = (" ".join(f"{c}{i}" for i in range(60)) for c in "aac")
+    near += " end"
+    for copy in (a, near):
+        rows = [(3, a, "s"), (5, copy, "s"), (5, clean, "t"), (5, clean, "t"), (None, a, "n"), (7, "", "e"), (7, None, "e")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, _h string")
+        got = sorted(((r.doc_id or 0, r.text or "", r._h) for r in keep_one(docs).collect()))
+        assert got == sorted([(0, a, "n"), (3, a, "s"), (5, clean, "t"), (7, "", "e"), (7, "", "e")])
+
+
 def test_blocks_find_all_pairs(spark):
     texts = {i: f"a b c d e f g h {'x' if i % 3 else 'y'}" for i in range(12)}
     df = spark.createDataFrame([(0, 0, 0, 0, i, 2) for i in texts], "kind int, group long, i int, j int, id long, side int")
