@@ -22,15 +22,16 @@ def shared_folder(spark, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-#: Rows of an Arrow batch: documents are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch: documents are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows; its session sends at most BATCH_ROWS rows to Python at a time, unless it is set to fewer."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
+    """The same rows; its session sends at most BATCH_ROWS rows or about BATCH_BYTES to Python at a time, unless it is set to fewer."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(conf.get(key).rstrip("b")) <= most:
+            conf.set(key, most)
     return df
 
 
@@ -38,7 +39,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here and survives lost executors."""
     folder = shared_folder(df.sparkSession, what)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table._folder = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of written() that no later read needs."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

@@ -1,40 +1,63 @@
 """Best-fit packing over a length histogram (operator 2).
 
 Only documents longer than a sequence are cut, into full pieces and a rest.
-The plan packs counts of lengths, best fit in decreasing order: the longest
-length that is left opens a bin, each next item is the longest that fits, and
-the bin's pattern is repeated as often as its counts allow. So the plan takes
-time and space by the number of lengths, however many documents there are.
-Pieces then take the planned slots of their length by their rank within it.
-
-Ranks come from a range shuffle of narrow rows by (length, doc_id, piece): a
-task's own numbering plus the counts of tasks before it, so a length that a
-third of all rows share is spread over many tasks.
+The plan packs counts of lengths, best fit in decreasing order: open bins are
+counted by the room they have left, and each length goes into the smallest
+room that holds it, a new bin opening only where none does. Bins that were
+filled alike stay one run, and a length splits at most two of them, so the plan
+takes time and space by the number of lengths, however many documents there
+are. Pieces then take the planned slots of their length by their rank within it.
+
+A piece is numbered within its length by the task that cuts it; the pieces of
+that length in the tasks before come from counts by (length, task). Ids are
+thus never shuffled: those counts are broadcast where Spark's own size check
+allows it, and joined by (length, task) beyond it. A length that a third of all
+rows share is spread over all tasks.
 
 A null or empty text is one piece with only its end id. Repeated rows are
-packed separately. An empty table gives an empty result.
+packed separately; equal lengths take slots in any order. Very long texts give
+many pieces, of one task. Columns of documents other than doc_id and text are
+not carried, so none can clash. An empty table gives an empty result.
 """
 
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from logweir.llm.common import BATCH_ROWS, small_batches, written
+from logweir.llm.common import BATCH_ROWS, discard, small_batches, written
 from logweir.llm.tokens import gathered, tokenizer, vocabulary, with_end
 
-PIECES = "doc_id long, piece int, start long, length int, ids array<int>, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length int, ids array<int>, ids_crc32 long, _rank long, _task int"
+
+
+class Ranks:
+    """Numbers a task's pieces within their lengths, batch by batch."""
+
+    def __init__(self, capacity: int):
+        self.seen, self.task = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+
+    def columns(self, length: np.ndarray) -> list[pa.Array]:
+        """_rank and _task of the next pieces."""
+        order = np.argsort(length, kind="stable")
+        laid = length[order]
+        rank = np.empty(len(length), np.int64)
+        rank[order] = np.arange(len(laid)) - np.searchsorted(laid, laid) + self.seen[laid]
+        self.seen += np.bincount(length, minlength=len(self.seen))
+        return [pa.array(rank), pa.array(np.full(len(length), self.task, np.int32))]
 
 
 def tokenize_pieces(docs: DataFrame, capacity: int = 4096, vocab: str | None = None, end_id: int | None = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids of ``docs`` (doc_id, text), and ids_crc32: unsigned, of the ids as little-endian unsigned 32-bit integers."""
+    """doc_id, piece, start, length, ids of ``docs`` (doc_id, text), ids_crc32: unsigned, of the ids as little-endian unsigned 32-bit integers, and the numbers _rank and _task that place_pieces() goes by."""
     path = vocab or vocabulary()
 
     def cut(batches):
-        tok = tokenizer(path)
+        tok, ranks = tokenizer(path), Ranks(capacity)
         for batch in gathered(batches):
             ids, ends = with_end(*tok.encode_column(batch.column(1)), end_id)
             counts = np.diff(ends)
@@ -47,105 +70,113 @@ def tokenize_pieces(docs: DataFrame, capacity: int = 4096, vocab: str | None = N
             raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), (offsets * 4).tolist()
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
-            cols = [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), lists, pa.array(crc, pa.int64())]
+            cols = [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), lists, pa.array(crc, pa.int64()), *ranks.columns(length)]
             for a in range(0, len(row), BATCH_ROWS):
-                yield pa.RecordBatch.from_arrays([c.slice(a, BATCH_ROWS) for c in cols], ["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([c.slice(a, BATCH_ROWS) for c in cols], ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "_rank", "_task"])
 
     return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(cut, PIECES)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """[(bins, [(length, items per bin), ...]), ...] by best fit over counts, longest first."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        if not 0 < length <= capacity:
-            raise ValueError(f"length {length} does not fit {capacity}")
-        left[length] += n
-    plan, longest = [], capacity
-    while True:
-        have = np.flatnonzero(left[:longest + 1])
-        if not len(have):
-            return plan
-        longest, room, pattern = int(have[-1]), capacity, []
-        top = len(have)
-        while top and room:
-            top = int(np.searchsorted(have[:top], room, side="right"))
-            if not top:
-                break
-            length = int(have[top - 1])
-            k = min(room // length, int(left[length]))
-            pattern.append((length, k))
-            room -= k * length
-            top -= 1
-        bins = min(int(left[length]) // k for length, k in pattern)
-        for length, k in pattern:
-            left[length] -= bins * k
-        plan.append((bins, pattern))
+    open_: dict[int, list] = {}  # room left: runs (bins, items), items a chain (length, items per bin, rest of the chain)
+    rooms: list[int] = []
+
+    def put(room, bins, items):
+        if bins:
+            if room not in open_:
+                insort(rooms, room)
+            open_.setdefault(room, []).append((bins, items))
+
+    for length in sorted(counts, reverse=True):
+        left = int(counts[length])
+        if not 0 < length <= capacity or left < 0:
+            raise ValueError(f"{left} items of length {length} do not fit {capacity}")
+        while left:
+            at = bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                bins, items = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            else:
+                room, bins, items = capacity, left, None
+            # Having taken one, a bin is the smallest room as long as another fits.
+            each = room // length
+            full = min(bins, left // each)
+            put(room - each * length, full, (length, each, items))
+            left -= full * each
+            if full < bins and left:
+                put(room - left * length, 1, (length, left, items))
+                full, left = full + 1, 0
+            if items or room < capacity:
+                put(room, bins - full, items)
+    plan = []
+    for room in rooms:
+        for bins, items in open_[room]:
+            pattern = []
+            while items:
+                pattern.append(items[:2])
+                items = items[2]
+            plan.append((bins, pattern[::-1]))
+    return plan
 
 
 def slot_runs(plan) -> dict[str, np.ndarray]:
-    """Runs of slots by (length, first rank): ranks of a run go to consecutive bins at one offset."""
+    """Runs of slots by (length, first rank): a run's ranks go to ``bins`` consecutive bins, then to these again, one length on."""
     runs, used, bin_no = [], {}, 0
     for bins, pattern in plan:
         offset = 0
         for length, k in pattern:
-            for _ in range(k):
-                first = used.get(length, 0)
-                runs.append((length, first, bin_no, offset))
-                used[length] = first + bins
-                offset += length
+            first = used.get(length, 0)
+            runs.append((length, first, bin_no, offset, bins))
+            used[length] = first + bins * k
+            offset += k * length
         bin_no += bins
     runs.sort()
-    table = np.array(runs, np.int64).reshape(-1, 4)
-    return {"length": table[:, 0], "rank": table[:, 1], "bin": table[:, 2], "offset": table[:, 3]}
+    table = np.array(runs, np.int64).reshape(-1, 5)
+    return dict(zip(("length", "rank", "bin", "offset", "bins"), table.T.copy()))
 
 
-def place_pieces(pieces: DataFrame, capacity: int = 4096, keep: tuple[str, ...] = ("doc_id", "piece", "start")) -> DataFrame:
-    """``keep`` columns and length with sequence_id and offset, for pieces of any origin."""
-    spark = pieces.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*keep, "length").schema)
+def number_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
+    """``pieces`` (length among its columns) as a table with _rank and _task, for pieces that tokenize_pieces() has not cut."""
+    rows = pieces.withColumn("length", F.col("length").cast("int"))
+    place = rows.columns.index("length")
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("_rank long, _task int").fields])
 
     def number(batches):
-        task, seen = TaskContext.get().partitionId(), {}
+        ranks = Ranks(capacity)
         for batch in batches:
-            length = batch.column(len(keep)).to_numpy()
-            rank = np.empty(len(length), np.int64)
-            cuts = np.flatnonzero(np.diff(length)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(length)]):
-                if b > a:
-                    first = seen.get(int(length[a]), 0)
-                    rank[a:b] = np.arange(first, first + b - a)
-                    seen[int(length[a])] = first + b - a
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank), pa.array(np.full(len(length), task, np.int32))], [*batch.schema.names, "_rank", "_task"])
-
-    order = ["length", *[c for c in ("doc_id", "piece") if c in keep]]
-    narrow = pieces.select(*keep, F.col("length").cast("int").alias("length"))  # read twice: once for the ranges
-    dealt = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranked = written(dealt.mapInArrow(number, f"{schema.rsplit(', ', 1)[0] + ', ' if keep else ''}length int, _rank long, _task int"), "pack-ranks")
-    counts = ranked.groupBy("length", "_task").agg(F.count("*").alias("_n"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *ranks.columns(batch.column(place).to_numpy())], schema.names)
+
+    return written(small_batches(rows).mapInArrow(number, schema), "pack-numbers")
+
+
+def place_pieces(pieces: DataFrame, capacity: int = 4096, keep: tuple[str, ...] = ("doc_id", "piece", "start")) -> DataFrame:
+    """``keep`` columns and length with sequence_id and offset, for a table of pieces with _rank and _task."""
+    spark = pieces.sparkSession
+    counts = written(pieces.groupBy("length", "_task").agg(F.count("*").alias("_n")), "pack-counts")
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("length", "_task", F.coalesce(before, F.lit(0)).alias("_base"))
+    # A table: its size is what Spark checks before it broadcasts it.
+    bases = written(counts.select("length", "_task", F.coalesce(before, F.lit(0)).alias("_base")), "pack-bases")
     # At most ``capacity`` lengths come to the driver; the plan has runs by lengths, not by documents.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    discard(counts)
     runs = spark.sparkContext.broadcast(slot_runs(plan_bins(histogram, capacity)))
+    schema = StructType([*pieces.select(*keep, "length").schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
 
     def take(batches):
         plan = runs.value
         keys = plan["length"] << 42 | plan["rank"]
         for batch in batches:
-            names = batch.schema.names
-            length = batch.column(names.index("length")).to_numpy().astype(np.int64)
-            rank = batch.column(names.index("_rank")).to_numpy() + batch.column(names.index("_base")).to_numpy()
-            at = np.searchsorted(keys, length << 42 | rank, side="right") - 1
-            cols = [batch.column(i) for i, n in enumerate(names) if n not in ("_rank", "_task", "_base")]
-            kept = [n for n in names if n not in ("_rank", "_task", "_base")]
-            seq = plan["bin"][at] + rank - plan["rank"][at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(plan["offset"][at])], [*kept, "sequence_id", "offset"])
-
-    # A range holds few lengths: bases have about a row per task and length.
-    placed = ranked.join(F.broadcast(bases), ["length", "_task"]).select(*keep, "length", "_rank", "_task", "_base")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*keep, "length").schema)
-    return placed.mapInArrow(take, f"{out}, sequence_id long, offset long")
+            length, rank, base = (batch.column(len(keep) + i).to_numpy().astype(np.int64) for i in range(3))
+            at = np.searchsorted(keys, length << 42 | (rank + base), side="right") - 1
+            lap, step = np.divmod(rank + base - plan["rank"][at], plan["bins"][at])
+            cols = [pa.array(plan["bin"][at] + step), pa.array(plan["offset"][at] + lap * length)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep) + 1], *cols], schema.names)
+
+    based = pieces.join(bases, ["length", "_task"]).select(*keep, "length", "_rank", "_base")
+    return small_batches(based).mapInArrow(take, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, vocab: str | None = None, end_id: int | None = 1) -> tuple[DataFrame, DataFrame]:
