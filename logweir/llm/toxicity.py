@@ -12,9 +12,18 @@ make it a quotation, which counts less than abuse. A small logistic model turns
 a text's hits into a score; it is fitted on hits that leave out only the clean
 spellings of the other half of the texts, as for texts that were never seen.
 
-Learning uses at most ``limit`` labelled rows in hash order of doc_id. Null and
-empty texts have no hits; every row gets a score. Without labels of both
-classes every score is 0.
+Learning uses at most ``limit`` labelled rows in hash order of doc_id, written
+once: the whole table is read for them and for the scores only. All their words
+of LEAST letters or more are looked at, however long and however many. The
+lexicon and the clean spellings come to the driver and go to the tasks; both are
+bounded by the sample: a term's toxic texts outweigh chance over all words tried,
+which takes some ten of the sample's texts each.
+
+Null and empty texts have no hits; every row gets a score. Very long texts are
+read whole. Repeated rows are scored separately; a doc_id that stands on several
+texts gives its label to each. Equally near terms go by the alphabet. Without
+labels of both classes every score is 0; an empty table gives an empty result.
+Outputs take the place of ``keep`` columns of their names.
 """
 
 import math
@@ -27,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import held_out, training_rows
+from logweir.llm.common import discard, held_out, small_batches, training_rows, written
 from logweir.llm.quality import map_texts
 
 TRAINING_ROWS = 20_000
-#: Most terms that come to the driver and are sent to tasks.
-LEXICON_TERMS = 4_000
+#: Letters of the shortest word that can be a term; below four a term is matched exactly.
+LEAST = 3
 THRESHOLD = 0.3
 #: Least share of toxic texts among the training texts that hold a term.
 PURITY = 0.9
@@ -219,19 +228,19 @@ def quotation(text: str, a: int, start: int, end: int, b: int, before: list[str]
 
 
 def _evidence(docs: DataFrame) -> DataFrame:
-    """kind, token, n1, n0: training texts of each class that hold a word or a stem."""
+    """token, n1, n0: training texts of each class that hold a word or a stem (with a *)."""
 
     def count(batches):
         for batch in batches:
             got = {1: Counter(), 0: Counter()}
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = {w for w in words_of(text) if 3 <= len(w) <= 40 and not w.isdigit()}
+                seen = {w for w in words_of(text) if len(w) >= LEAST and not w.isdigit()}
                 got[y].update(seen)
                 got[y].update({w[:n] + "*" for w in seen for n in STEMS if len(w) > n})
             tokens = list(got[1].keys() | got[0].keys())
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array([got[1][t] for t in tokens], pa.int64()), pa.array([got[0][t] for t in tokens], pa.int64())], ["token", "n1", "n0"])
 
-    parts = docs.select("y", "text").mapInArrow(count, "token string, n1 long, n0 long")
+    parts = small_batches(docs.select("y", "text")).mapInArrow(count, "token string, n1 long, n0 long")
     return parts.groupBy("token").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
@@ -253,10 +262,14 @@ def choose_terms(rows: list[tuple[str, int, int]], base: float, tried: int) -> t
             if len(w) > k:
                 top[w[:k]] = max(top[w[:k]], n)
     stems = {s: n for s, n in stems.items() if n >= 2 * top[s]}
-    # Of nested stems with nearly the same support, the longest.
-    kept = [s for s, n in stems.items() if not any(o != s and o.startswith(s) and m >= 0.9 * n for o, m in stems.items())]
-    kept = [s for s in kept if not any(o != s and s.startswith(o) for o in kept)]
-    return sorted(w for w in words if not any(w.startswith(s) for s in kept)), sorted(kept)
+    # Of nested stems with nearly the same support, the longest; of those left, the shortest.
+    longer = Counter()
+    for s, n in stems.items():
+        for k in range(min(STEMS), len(s)):
+            longer[s[:k]] = max(longer[s[:k]], n)
+    kept = {s for s, n in stems.items() if longer[s] < 0.9 * n}
+    kept = {s for s in kept if not any(s[:k] in kept for k in range(min(STEMS), len(s)))}
+    return sorted(w for w in words if not any(w[:k] in kept for k in STEMS)), sorted(kept)
 
 
 def _fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -274,17 +287,22 @@ def _fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> ToxicModel:
     rows = training_rows(labels, "toxic", limit)
-    some = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    some = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id"), "toxic-sample")
+    n = {r["y"]: r["n"] for r in some.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
+        discard(some)
         return ToxicModel()
     base = n[1] / (n[1] + n[0])
-    evidence = _evidence(some).filter("n1 + n0 >= 3")
+    evidence = written(_evidence(some).filter("n1 + n0 >= 3"), "toxic-evidence")
+    tried = evidence.count()
     rate = F.col("n1") / (F.col("n1") + F.col("n0"))
-    stats = evidence.agg(F.count("*").alias("tried")).first()["tried"]
-    got = evidence.filter((F.col("n1") >= 3) & (rate >= PURITY)).orderBy(F.col("n1").desc(), "token").limit(LEXICON_TERMS)
-    terms, stems = choose_terms([tuple(r) for r in got.collect()], base, stats)
+    # No term has less evidence than this, so the driver gets few more rows than terms.
+    gain = F.col("n1") * F.log(rate / base)
+    got = evidence.filter((F.col("n1") >= 3) & (rate >= PURITY) & (gain > math.log(max(tried, 2) / 0.05))).orderBy(F.col("n1").desc(), "token")
+    terms, stems = choose_terms([tuple(r) for r in got.collect()], base, tried)
+    discard(evidence)
     model = ToxicModel(terms, stems)
+
     # Spellings near a term that clean texts use are words of their own.
     def near(texts, held=[]):
         held or held.append(Scorer(model))
@@ -305,7 +323,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROW
         return [pa.array([s.features(t) for t in texts], pa.list_(pa.float64())) for s in held]
 
     x = map_texts(some, count, "x0 array<double>, x1 array<double>", ["doc_id", "y"]).select("y", F.when(half == 0, F.col("x0")).otherwise(F.col("x1")).alias("x"))
-    x = x.groupBy("y", "x").agg(F.count("*").alias("n")).collect()
+    x = x.groupBy("y", "x").agg(F.count("*").alias("n")).orderBy("y", "x").collect()
+    discard(some)
     if {r["y"] for r in x} != {0, 1}:
         return ToxicModel()
     data = np.array([r["x"] for r in x]), np.array([r["y"] for r in x], float), np.array([r["n"] for r in x])
