@@ -10,25 +10,31 @@ with two members of its bucket (stars), pairs are verified on full sets of
 whole texts, and links are joined into components. Only then, and only in
 buckets that still hold several components, members of different components
 are compared, in blocks that give just the pairs that pass: whatever is not
-compared is already connected, so no link between components is lost. Components are found by alternating large-star and
-small-star steps on tables in the shared folder: nothing that grows with the
-corpus comes to the driver. Joins with texts are merge joins by hint, so plans are
-the same at every size: lists of ids grow with the corpus and are not broadcast.
+compared is already connected, so no link between components is lost; a document
+gives one link to each component that it meets. Pairs are verified by blocks of
+a star's members against its centre, whose text is sent once a block.
+
+Grouping is union-find: each task joins the links that it reads, a bounded
+number of nodes at a time, and alternating large-star and small-star steps, on
+tables in the shared folder, join what the tasks have found. Nothing that grows
+with the corpus comes to the driver. Joins with texts are merge joins by hint,
+so plans are the same at every size: lists of ids grow with the corpus and are
+not broadcast.
 
 Texts without words have an empty set and are linked with nothing. Rows with a
 null doc_id are linked with nothing and have a null component. Rows that repeat
-a doc_id are linked by their own texts. An empty table gives an empty result.
+a doc_id are linked by their own texts. Very long texts are read whole. Columns
+other than doc_id and text are not read by near_duplicates(); keep_one() keeps
+them all. An empty table gives an empty result.
 """
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import small_batches, written
+from logweir.llm.common import discard, small_batches, written
 from logweir.llm.quality import map_texts
 from logweir.llm.shingles import WORDS, band_keys, jaccard_counts, set_fingerprint, shingle_set, superminhash
 
@@ -38,6 +44,8 @@ BANDS = 48
 PERCENT = 75
 #: Documents of a block, on average, where blocks are compared.
 BLOCK = 256
+#: Nodes that a task joins before it passes on what it has found.
+LOCAL_NODES = 400_000
 
 
 def sketch(docs: DataFrame, words: int = WORDS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -53,52 +61,83 @@ def sketch(docs: DataFrame, words: int = WORDS, rows: int = ROWS, bands: int = B
     return map_texts(docs, work, "n_shingles long, fp1 long, fp2 long, bands array<long>", ["doc_id"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar enough, on their full sets."""
+def verify(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, size: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) whose whole texts are similar enough, on their full sets; many may share an a."""
 
     def check(batches):
-        seen: dict = {}
-
-        def of(text):
-            key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if key not in seen:
-                if len(seen) > 256:
-                    seen.clear()
-                seen[key] = shingle_set(text, words)
-            return seen[key]
-
+        key, centres = None, []
         for batch in batches:
             good = []
-            for i in range(batch.num_rows):
-                a, b, ta, tb = (batch.column(c)[i].as_py() for c in range(4))
-                both, union = jaccard_counts(of(ta), of(tb))
-                if 100 * both >= percent * union and union:
-                    good.append((a, b))
+            a, block, side, b = (batch.column(i).to_numpy() for i in range(4))
+            for i, text in enumerate(batch.column(4)):
+                if key != (a[i], block[i]):
+                    key, centres = (a[i], block[i]), []
+                own = shingle_set(text.as_py(), words)
+                if side[i] == 0:  # comes first in its block; a repeated doc_id has several texts
+                    centres.append(own)
+                elif any(100 * both >= percent * union > 0 for both, union in (jaccard_counts(own, c) for c in centres)):
+                    good.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], ["a", "b"])
 
+    # Blocks of a centre's members; most centres have one.
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("n")).filter("n > 1")
+    blocks = pairs.join(many, "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("n")), F.lit(0)).cast("int").alias("block"), "b")
+    centres = blocks.select("a", "block").distinct().select("a", "block", F.lit(0).alias("side"), F.col("a").alias("doc_id"))
+    rows = centres.union(blocks.select("a", "block", F.lit(1), "b"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = texts.join(ids.hint("merge"), "doc_id", "left_semi")
-    left = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return small_batches(both.select("a", "b", "ta", "tb")).mapInArrow(check, "a long, b long").distinct()
+    dealt = rows.hint("merge").join(texts, "doc_id").select("a", "block", "side", "doc_id", "text")
+    laid = dealt.repartition("a", "block").sortWithinPartitions("a", "block", "side")
+    return small_batches(laid).mapInArrow(check, "a long, b long").distinct()
 
 
 def _sizes_fit(percent: int):
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
+def local_components(edges: DataFrame, most: int = LOCAL_NODES) -> DataFrame:
+    """(u, v): links that join the same nodes as ``edges`` (a, b), each from a node to the least one it is joined with by its task."""
+
+    def join(batches):
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def found():
+            ends = [(x, find(x)) for x in list(parent)]
+            ends = [(x, r) for x, r in ends if x != r]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([r for _, r in ends], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) > most:
+                yield found()
+        yield found()
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(join, "u long, v long")
+
+
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component), component the least node, for every node of an edge (a, b)."""
-    e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    e = written(local_components(edges.filter("a <> b")).distinct(), "components")
     last = None
     for _ in range(most):
         two = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # A table, so that a join with a node of very many links can be split.
+        low = written(two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-low")
         large = two.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = written(pairs.filter("u <> v").distinct(), "components")
+        new = written(pairs.filter("u <> v").distinct(), "components")
+        discard(e, low)
+        e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last == now:
             break
@@ -109,8 +148,8 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def open_blocks(shared: DataFrame, reps: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(kind, group, i, j, id, side): blocks of documents of different components that share a bucket.
+def open_blocks(shared: DataFrame, reps: DataFrame, size: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
+    """(kind, group, i, j, id, side, label), and the tables it reads: blocks of documents of different components that share a bucket.
 
     A bucket's main component is its most frequent one; the others' members are
     its rest. Blocks of the rest's members meet blocks of the main component
@@ -125,27 +164,31 @@ def open_blocks(shared: DataFrame, reps: DataFrame, size: int = BLOCK) -> DataFr
     part = lambda name, n: F.pmod(F.xxhash64(name), n).cast("int")
     blocks = lambda n: F.ceil(n / F.lit(size)).cast("int")
 
-    meets = rest.select(F.col("rep").alias("x"), F.col("main").alias("group")).distinct()
+    meets = rest.select(F.col("rep").alias("x"), "label", F.col("main").alias("group")).distinct()
     sizes = meets.groupBy("group").agg(F.count("*").alias("nx")).join(reps.groupBy(F.col("label").alias("group")).agg(F.count("*").alias("nm")), "group")
     sizes = written(sizes.select("group", blocks(F.col("nx")).alias("bx"), blocks(F.col("nm")).alias("bm")), "neardup-sizes")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = meets.join(sizes, "group").select("group", part("x", F.col("bx")).alias("i"), each(F.col("bm")).alias("j"), F.col("x").alias("id"), F.lit(0).alias("side"))
-    right = reps.withColumnRenamed("label", "group").join(sizes, "group").select("group", each(F.col("bx")).alias("i"), part("rep", F.col("bm")).alias("j"), F.col("rep").alias("id"), F.lit(1).alias("side"))
+    left = meets.join(sizes, "group").select("group", part("x", F.col("bx")).alias("i"), each(F.col("bm")).alias("j"), F.col("x").alias("id"), F.lit(0).alias("side"), "label")
+    right = reps.withColumnRenamed("label", "group").join(sizes, "group").select("group", each(F.col("bx")).alias("i"), part("rep", F.col("bm")).alias("j"), F.col("rep").alias("id"), F.lit(1).alias("side"), F.col("group").alias("label"))
 
     # More than two components: the rest's members among themselves.
     many = rest.filter("labels > 2")
     counts = many.groupBy("key").agg(blocks(F.count("*")).alias("b"))
-    own = many.select("key", "rep").join(counts, "key").select(F.col("key").alias("group"), "b", F.col("rep").alias("id"), part("rep", F.col("b")).alias("p"))
-    among = own.withColumn("q", each(F.col("b"))).select("group", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "id", F.when(F.col("p") == F.col("q"), 2).otherwise((F.col("p") > F.col("q")).cast("int")).alias("side"))
-    return left.union(right).withColumn("kind", F.lit(0)).unionByName(among.withColumn("kind", F.lit(1)))
+    own = many.select("key", "rep", "label").join(counts, "key").select(F.col("key").alias("group"), "b", "label", F.col("rep").alias("id"), part("rep", F.col("b")).alias("p"))
+    among = own.withColumn("q", each(F.col("b"))).select("group", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "id", F.when(F.col("p") == F.col("q"), 2).otherwise((F.col("p") > F.col("q")).cast("int")).alias("side"), "label")
+    return left.union(right).withColumn("kind", F.lit(0)).unionByName(among.withColumn("kind", F.lit(1))), [rest, sizes]
 
 
 def compare_blocks(blocks: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Similar pairs (a, b) between the sides of each block, on full sets; side 2 stands on both."""
+    """Similar pairs (a, b) between the sides of each block, on full sets; side 2 stands on both.
+
+    Where blocks have labels, a document gives one pair with each label that is not its own.
+    """
 
     def compare(pdf):
         found = set()
         ids, sides = pdf["id"].to_numpy(), pdf["side"].to_numpy()
+        labels = pdf["label"].to_numpy() if "label" in pdf else ids
         diagonal = pdf["i"].iloc[0] == pdf["j"].iloc[0] and pdf["kind"].iloc[0] == 1
         sets = [shingle_set(t, words) for t in pdf["text"]]
         sizes = np.array([len(s) for s in sets])
@@ -161,9 +204,9 @@ def compare_blocks(blocks: DataFrame, docs: DataFrame, words: int = WORDS, perce
                 n = hi - lo
                 hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 both = np.bincount(owner[hit], minlength=len(ids))
-                for y in np.flatnonzero((both > 0) & (100 * both >= percent * (sizes[x] + sizes - both))).tolist():
-                    if ids[y] != ids[x]:
-                        found.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                near = np.flatnonzero((both > 0) & (labels != labels[x]) & (100 * both >= percent * (sizes[x] + sizes - both)))
+                for y in near[np.unique(labels[near], return_index=True)[1]].tolist():
+                    found.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     needed = blocks.select(F.col("id").alias("doc_id")).distinct()
@@ -180,19 +223,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("c1"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("c2")).filter("members > 1")
     shared = written(keyed.join(buckets, "key"), "neardup-buckets")
+    # Stars of each bucket, from its least member and from another; a pair of two stars is checked in one.
     centers = F.explode(F.array(F.struct(F.col("c1.rep").alias("rep"), F.col("c1.n").alias("n")), F.struct(F.col("c2.rep").alias("rep"), F.col("c2.n").alias("n"))))
     stars = shared.select("rep", F.col("n").alias("n_b"), centers.alias("c")).select(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.n").alias("n_a"), "n_b")
-    stars = stars.filter("a <> b").filter(_sizes_fit(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = written(stars, "neardup-stars")
+    stars = stars.filter("a <> b").filter(_sizes_fit(percent)).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+    stars = written(stars.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "neardup-stars")
     links = written(verify(stars, docs, percent=percent), "neardup-links")
+    discard(stars)
     first = written(connected_components(links), "neardup-first")
+    discard(links)
 
     # Buckets that still hold several components.
     label = F.coalesce("component", "rep")
     reps = classes.select("rep").distinct().join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", label.alias("label"))
     reps = written(reps, "neardup-labels")
-    more = written(compare_blocks(open_blocks(shared.select("key", "rep"), reps), docs, percent=percent), "neardup-more")
+    blocks, tables = open_blocks(shared.select("key", "rep"), reps)
+    more = written(compare_blocks(blocks, docs, percent=percent), "neardup-more")
+    discard(shared, reps, *tables)
     final = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+    discard(first, more)
 
     groups = classes.select("fp1", "fp2", "rep", "copies").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     groups = groups.select("fp1", "fp2", "copies", "rep", F.coalesce("component", "rep").alias("component")).filter("copies > 1 OR component <> rep").drop("copies", "rep")
