@@ -12,7 +12,7 @@ tests hold the stages against brute-force versions.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import table, written
+from logweir.llm.common import discard, table, written
 from logweir.llm.mixing import drawn_rows, mix_documents
 from logweir.llm.neardup import keep_one
 from logweir.llm.packing import place_pieces, tokenize_pieces
@@ -81,7 +81,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed corpus of ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
