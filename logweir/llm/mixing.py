@@ -4,35 +4,41 @@ Targets: sources in code-point order, null last, weigh 5, 2, 1, repeating, and
 share all words; a target stops at three times its source's words and the
 excess is shared again by weight (water filling, in one ordered pass).
 
-A source's documents fall into BLOCKS hash blocks. A target is whole passes
-over the source plus a part of one more pass, taken block by block in a
-permuted order; in the block where the part ends, documents follow in hash
-order and the last may be taken in part, so a source's words meet its target
-to the word. Each (pass, block) is a draw. A tree over the output shards splits
-the exact number of draws of each source: at a node, the left half's counts are
-drawn from the multivariate hypergeometric law, the right half has the rest.
-Leaves then take disjoint runs of each source's permuted draws.
-
-All randomness is a hash of the seed and ids, so reruns agree. Null texts and
-empty ones have no words and are not taken; a null source is a source; an empty
-table gives an empty result; repeated rows are taken separately.
+A source's documents fall into BLOCKS hash blocks, by doc_id and text. A target
+is whole passes over the source plus a part of one more pass, taken block by
+block in a permuted order. The block in which the part ends is split again into
+BLOCKS by further bits of the hash, and only in the one of these where it ends
+are documents put in order (some rows in a million of a source); the last may be
+taken in part, so a source's words meet its target to the word. All other rows
+are decided by their block alone, without a shuffle. Each (pass, block) is a
+draw. A tree over the output shards splits the exact number of draws of each
+source: at a node, the left half's counts are drawn from the multivariate
+hypergeometric law, the right half has the rest. Leaves then take disjoint runs
+of each source's permuted draws. The tree and the targets are one task: they
+grow with sources and shards, not with documents.
+
+All randomness is a hash of the seed, ids and texts, so reruns agree. Null texts
+and empty ones have no words and are not taken; a null source is a source; an
+empty table gives an empty result; repeated rows are taken separately, but share
+a block. Equal hashes are ordered by key and size. Very long texts are read
+whole. Input columns with a name of OWN are left out: the operator's take their
+place.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import word_count, written
+from logweir.llm.common import discard, word_count, written
 
-BLOCKS = 1024
-OWN = ("size", "source_size", "target", "taken", "draws", "passes", "rest", "_block", "_source", "_before", "_base", "_part", "_shards", "_p_source", "_p_block")
+BLOCK_BITS = 10
+BLOCKS = 1 << BLOCK_BITS
+#: Rows (sources times blocks) up to which a plan is broadcast; a larger one is joined by its keys.
+PLAN_ROWS = 200_000
+OWN = ("size", "source_size", "target", "taken", "draws", "passes", "rest", "_hash", "_size", "_block", "_source", "_before", "_base", "_part", "_words", "_shards", "_p_source", "_p_block", "_sub_base", "_p_sub")
 WEIGHTS = (5, 2, 1)
 MOST = 3
 
 
-def _uniform(*parts) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)).cast("double") / float(1 << 53)
-
-
 def source_targets(blocks: DataFrame) -> DataFrame:
     """source, source_size, target and idx (its place in code-point order) from per-block words."""
     sizes = blocks.groupBy("source").agg(F.sum("_words").alias("source_size"))
@@ -53,70 +59,58 @@ def source_targets(blocks: DataFrame) -> DataFrame:
     return marked.withColumn("target", target).select("source", "source_size", "target", "idx")
 
 
+def _bind(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _walk(start: str, count: str, sign: str) -> str:
+    """SQL of a walk from the mode m: weights w and their sum s; x is the first value at which the sum reaches the goal."""
+    weight = lambda x: f"(r.k - {x}) * (r.d - {x}) / (({x} + 1) * (r.n - r.k - r.d + {x} + 1))"  # noqa: E731  that of x + 1 by that of x
+    w = f"a.w * ({weight('(m + i)')})" if sign == "+" else f"a.w / ({weight('(m - i - 1)')})"
+    step = f"named_struct('w', v, 's', a.s + v, 'x', IF(a.x IS NULL AND a.s + v >= a.goal, m {sign} i {sign} 1, a.x), 'goal', a.goal)"
+    return f"aggregate(slice(sequence(0L, {count}), 1, CAST({count} AS INT)), {start}, (a, i) -> {_bind(w, 'v', step)})"
+
+
+def _hypergeometric() -> str:
+    """SQL of a draw for p, a struct of doubles n, k, d and u."""
+    acc = lambda s, x, goal: f"named_struct('w', 1D, 's', {s}, 'x', CAST({x} AS DOUBLE), 'goal', {goal})"
+    up = "CAST(greatest(0D, least(r.high, m + r.spread) - m) AS BIGINT)"
+    down = "CAST(greatest(0D, m - greatest(r.low, m - r.spread)) AS BIGINT)"
+    never = "CAST('Infinity' AS DOUBLE)"
+    total = _walk(acc(_walk(acc("1D", "NULL", never), up, "+") + ".s", "NULL", never), down, "-") + ".s"
+    first = _walk(acc("1D", "IF(g <= 1D, m, NULL)", "g"), up, "+")
+    last = _bind(first, "z", _walk(acc("z.s", "z.x", "z.goal"), down, "-") + ".x")
+    drawn = f"coalesce({_bind(f'r.u * {total}', 'g', last)}, m)"
+    mode = "least(r.high, greatest(r.low, CAST(floor((r.d + 1) * (r.k + 1) / (r.n + 2)) AS DOUBLE)))"
+    spread = "CAST(ceil(sqrt(greatest(0D, p.d * p.k / p.n * (1 - p.k / p.n))) * 12) AS DOUBLE) + 8"
+    ranged = f"named_struct('n', p.n, 'k', p.k, 'd', p.d, 'u', p.u, 'low', greatest(0D, p.d - (p.n - p.k)), 'high', least(p.k, p.d), 'spread', {spread})"
+    inner = _bind(ranged, "r", f"IF(r.low >= r.high, r.low, {_bind(mode, 'm', drawn)})")
+    return f"CAST(IF(p.n <= 0 OR p.k <= 0 OR p.d <= 0, 0D, {inner}) AS BIGINT)"
+
+
 def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """One hypergeometric draw by inversion of ``u``, outward from the mode to 12 standard deviations."""
-    n, k, d = (c.cast("double") for c in (population, marked, drawn))
-    low, high = F.greatest(F.lit(0.0), d - (n - k)), F.least(k, d)
-    spread = F.ceil(F.sqrt(F.greatest(F.lit(0.0), d * k / n * (1 - k / n))) * 12).cast("double") + 8
-
-    def inner(mode):
-        up_to, down_to = F.least(high, mode + spread), F.greatest(low, mode - spread)
-        up = lambda x: (k - x) * (d - x) / ((x + 1) * (n - k - d + x + 1))  # noqa: E731  weight of x + 1 by that of x
-        steps_up = F.when(up_to > mode, F.sequence(F.lit(0).cast("bigint"), (up_to - mode - 1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-        steps_down = F.when(mode > down_to, F.sequence(F.lit(0).cast("bigint"), (mode - down_to - 1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-        start = lambda total, pick: F.struct(F.lit(1.0).alias("w"), total.alias("s"), pick.cast("double").alias("x"))
-
-        def walk(acc, steps, goal, upward):
-            def step(a, i):
-                x = mode + i.cast("double") if upward else mode - i.cast("double")
-                w = a["w"] * (up(x) if upward else 1.0 / up(x - 1))
-                s = a["s"] + w
-                pick = F.when(a["x"].isNull() & (s >= goal), x + 1 if upward else x - 1).otherwise(a["x"])
-                return F.struct(w.alias("w"), s.alias("s"), pick.alias("x"))
-
-            return F.aggregate(steps, acc, step)
-
-        never = F.lit(float("inf"))
-        upper = walk(start(F.lit(1.0), F.lit(None)), steps_up, never, True)
-        both = walk(F.struct(F.lit(1.0).alias("w"), upper["s"].alias("s"), F.lit(None).cast("double").alias("x")), steps_down, never, False)["s"]
-        goal = u * both
-        first = walk(start(F.lit(1.0), F.when(goal <= 1.0, mode)), steps_up, goal, True)
-        last = walk(F.struct(F.lit(1.0).alias("w"), first["s"].alias("s"), first["x"].alias("x")), steps_down, goal, False)
-        return F.coalesce(last["x"], mode)
-
-    mode = F.least(high, F.greatest(low, F.floor((d + 1) * (k + 1) / (n + 2)).cast("double")))
-    fixed = F.when((n <= 0) | (k <= 0) | (d <= 0), F.lit(0.0)).when(low >= high, low)
-    return fixed.otherwise(F.transform(F.array(mode), inner)[0]).cast("bigint")
+    given = F.struct(*(c.cast("double").alias(n) for c, n in ((population, "n"), (marked, "k"), (drawn, "d"), (u, "u"))))
+    return F.call_function("transform", F.array(given), F.expr(f"p -> {_hypergeometric()}"))[0]
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(shard, quotas): the tree's leaves. ``quotas`` is one row with an array of draw counts by source."""
-    nodes = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quotas")
+    given = f"named_struct('n', CAST(acc.n AS DOUBLE), 'k', CAST(q AS DOUBLE), 'd', CAST(acc.d AS DOUBLE), 'u', CAST(pmod(xxhash64({seed}, 'split', lo, hi, size(acc.out)), {1 << 53}) AS DOUBLE) / {float(1 << 53)}D)"
+    draw = _bind(_bind(given, "p", _hypergeometric()), "x", "named_struct('n', acc.n - q, 'd', acc.d - x, 'out', concat(acc.out, array(x)))")
+    start = "named_struct('n', total, 'd', total * ((hi - lo) div 2) div (hi - lo), 'out', CAST(array() AS ARRAY<BIGINT>))"
+    nodes = quotas.selectExpr("0 AS lo", f"{shards} AS hi", "quotas")
     for _ in range(max(1, (shards - 1).bit_length())):
-        half = F.expr("CAST((hi - lo) div 2 AS INT)")
-        total = F.aggregate("quotas", F.lit(0).cast("bigint"), lambda a, q: a + q)
-        draws = F.call_function("div", total * half, F.col("hi") - F.col("lo"))
-
-        def pick(acc, q):
-            place = F.size(acc["out"])
-            x = hypergeometric(acc["n"], q, acc["d"], _uniform(F.lit(seed), F.lit("split"), F.col("lo"), F.col("hi"), place))
-            return F.transform(F.array(x), lambda v: F.struct((acc["n"] - q).alias("n"), (acc["d"] - v).alias("d"), F.concat(acc["out"], F.array(v)).alias("out")))[0]
-
-        start = F.struct(total.alias("n"), draws.cast("bigint").alias("d"), F.array().cast("array<bigint>").alias("out"))
-        left = F.aggregate("quotas", start, pick, lambda a: a["out"])
-        mid = (F.col("lo") + half).cast("int")
-        halves = nodes.withColumns({"left": left, "mid": mid})
-        whole = F.array(F.struct("lo", "hi", "quotas"))
-        two = F.array(
-            F.struct("lo", F.col("mid").alias("hi"), F.col("left").alias("quotas")),
-            F.struct(F.col("mid").alias("lo"), "hi", F.zip_with("quotas", "left", lambda q, x: q - x).alias("quotas")),
-        )
-        nodes = halves.select(F.explode(F.when(F.col("hi") - F.col("lo") < 2, whole).otherwise(two)).alias("x")).select("x.*")
+        nodes = nodes.selectExpr("*", "aggregate(quotas, 0L, (a, q) -> a + q) AS total", "CAST(lo + (hi - lo) div 2 AS INT) AS mid")
+        nodes = nodes.selectExpr("*", f"aggregate(quotas, {start}, (acc, q) -> {draw}, acc -> acc.out) AS left")
+        halves = "array(struct(lo, mid AS hi, left AS quotas), struct(mid AS lo, hi, zip_with(quotas, left, (q, x) -> q - x) AS quotas))"
+        nodes = nodes.selectExpr(f"explode(IF(hi - lo < 2, array(struct(lo, hi, quotas)), {halves})) AS x").select("x.*")
     return nodes.select(F.col("lo").alias("shard"), "quotas")
 
 
 def plan_mix(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Per (source, _block): source_size, target, passes, the words left for the part pass, shards of its draws."""
+    """Per (_p_source, _p_block): words, source_size, target, passes, the words left for the part pass, shards of its draws."""
     targets = written(source_targets(blocks), "mix-targets")
     want = F.floor("target").cast("bigint")
     passes = F.when(F.col("source_size") > 0, F.call_function("div", want, F.col("source_size"))).otherwise(F.lit(0)).cast("int")
@@ -139,25 +133,55 @@ def plan_mix(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     step = F.aggregate("by_shard", F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("at")), lambda a, q: F.struct((a["end"] + q).alias("end"), (a["at"] + (a["end"] + q <= F.col("_rank")).cast("int")).alias("at")), lambda a: a["at"])
     dealt = draws.withColumn("_rank", rank.cast("bigint")).join(ends, "idx").withColumn("shard", step)
     dealt = dealt.groupBy("idx", "_block").agg(F.transform(F.sort_array(F.collect_list(F.struct("_pass", "shard"))), lambda x: x["shard"]).alias("_shards"))
-    return laid.join(dealt, ["idx", "_block"], "left").drop("idx", "_words", "_draws")
-
-
-def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 3, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All rows and columns with size, source_size, target, taken and ``draws``, an array of (shard, words)."""
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(BLOCKS)).cast("int")
-    docs = docs.drop(*(c for c in OWN if c not in (source, text, key)))
-    rows = docs.withColumns({"size": word_count(F.col(text)), "_block": block, "_source": F.col(source)})
-    sums = rows.groupBy(F.col("_source").alias("source"), "_block").agg(F.sum("size").alias("_words"))
-    plan = plan_mix(written(sums, "mix-words"), shards, seed).withColumnsRenamed({"source": "_p_source", "_block": "_p_block"})
-    within = Window.partitionBy("_source", "_block").orderBy(F.xxhash64(F.lit(seed), F.lit("row"), F.col(key)), key, "size")
-    before = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = rows.withColumn("_before", before)
-    got = numbered.join(plan, F.col("_source").eqNullSafe(F.col("_p_source")) & (F.col("_block") == F.col("_p_block")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_base") - F.col("_before")))
-    got = got.withColumn("_part", part).withColumn("taken", F.col("passes") * F.col("size") + F.col("_part"))
-    words = F.transform("_shards", lambda s, i: F.struct(s.alias("shard"), F.when(i < F.col("passes"), F.col("size")).otherwise(F.col("_part")).alias("words")))
-    draws = F.filter(F.coalesce(words, F.array().cast("array<struct<shard:int,words:bigint>>")), lambda d: d["words"] > 0)
-    return got.withColumn("draws", draws).drop("_block", "_p_block", "_p_source", "_source", "_before", "_base", "_part", "_shards", "passes", "rest")
+    plan = written(laid.join(dealt, ["idx", "_block"], "left").drop("idx", "_draws").withColumnsRenamed({"source": "_p_source", "_block": "_p_block"}), "mix-plan")
+    discard(targets, laid, ends)
+    return plan
+
+
+def _checked(plan: DataFrame) -> DataFrame:
+    """A written plan, broadcast if its rows are few enough."""
+    return F.broadcast(plan) if plan.count() <= PLAN_ROWS else plan
+
+
+def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 3, source: str = "source", text: str = "text", key: str = "doc_id", size: str | None = None, ident: str | None = None) -> DataFrame:
+    """All rows and columns with size, source_size, target, taken and ``draws``, an array of (shard, words).
+
+    ``size`` and ``ident`` name columns with word counts and hashes of key and text, where these are known already.
+    """
+    words = F.col(size) if size else word_count(F.col(text))
+    hashed = F.col(ident) if ident else F.xxhash64(key, F.col(text).cast("string"))
+    block = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_hash"), 64 - BLOCK_BITS).cast("int")
+    sub = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_hash"), 64 - 2 * BLOCK_BITS).bitwiseAND(F.lit(BLOCKS - 1)).cast("int")
+    known = {"_mixed_hash": hashed, **({"_mixed_size": words} if size else {})}
+    clean = docs.withColumns(known).drop(*(c for c in OWN if c not in (source, text, key)))
+    rows = clean.withColumnsRenamed({"_mixed_hash": "_hash", "_mixed_size": "_size"}).withColumns({"_block": block, "_source": F.col(source)})
+    measure = F.col("_size") if size else words
+    sums = written(rows.groupBy(F.col("_source").alias("source"), "_block").agg(F.sum(measure).alias("_words")), "mix-words")
+    plan = plan_mix(sums, shards, seed)
+    # The block of each source in which its part ends, split again: one row a source.
+    ends = plan.filter("_words > 0 AND _base < rest AND rest < _base + _words").select("_p_source", "_p_block", "_base", "rest")
+    same = F.col("_source").eqNullSafe(F.col("_p_source")) & (F.col("_block") == F.col("_p_block"))
+    inside = rows.join(_checked(ends), same).groupBy("_p_source", sub.alias("_p_sub")).agg(F.sum(measure).alias("_w"), F.first("_base").alias("_base"), F.first("rest").alias("rest"))
+    order = Window.partitionBy("_p_source").orderBy("_p_sub").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_sub_base", F.col("_base") + F.coalesce(F.sum("_w").over(order), F.lit(0)))
+    subs = inside.filter("_sub_base < rest AND rest <= _sub_base + _w").select("_p_source", "_p_sub", "_sub_base")
+    subs = subs.withColumnRenamed("_p_source", "_s").join(plan, F.col("_s").eqNullSafe(F.col("_p_source")) & (F.col("_words") > 0) & (F.col("_base") < F.col("rest")) & (F.col("rest") < F.col("_base") + F.col("_words")), "right").drop("_s", "_words")
+    plan2 = written(subs, "mix-parts")
+
+    got = rows.join(_checked(plan2), same)
+    edge = F.col("_p_sub").isNotNull() & (F.col("_p_sub") == sub)
+    calm = got.filter(~edge).withColumn("size", measure)
+    whole = (F.col("_base") < F.col("rest")) & (F.col("_p_sub").isNull() | (sub < F.col("_p_sub")))
+    calm = calm.withColumn("_part", F.when(whole, F.col("size")).otherwise(F.lit(0)).cast("bigint"))
+    ordered = got.filter(edge).withColumn("size", measure)
+    within = Window.partitionBy("_source").orderBy("_hash", key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = ordered.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    ordered = ordered.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_sub_base") - F.col("_before"))).cast("bigint")).drop("_before")
+    got = calm.unionByName(ordered).withColumn("taken", F.col("passes") * F.col("size") + F.col("_part"))
+    parts = F.transform("_shards", lambda s, i: F.struct(s.alias("shard"), F.when(i < F.col("passes"), F.col("size")).otherwise(F.col("_part")).alias("words")))
+    draws = F.filter(F.coalesce(parts, F.array().cast("array<struct<shard:int,words:bigint>>")), lambda d: d["words"] > 0)
+    discard(sums, plan)
+    return got.withColumn("draws", draws).drop("_hash", "_size", "_block", "_p_block", "_p_source", "_source", "_base", "_part", "_shards", "_sub_base", "_p_sub", "passes", "rest")
 
 
 def drawn_rows(mixed: DataFrame, text: str = "text", seed: int = 3, key: str = "doc_id") -> DataFrame:
@@ -171,5 +195,3 @@ def drawn_rows(mixed: DataFrame, text: str = "text", seed: int = 3, key: str = "
     cut = F.when(F.col("_draw.words") < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), F.col("_draw.words").cast("int")), "")).otherwise(F.col(text))
     out = each.withColumns({text: cut, "shard": F.col("_draw.shard"), "shuffle_key": F.xxhash64(F.lit(seed), F.col(key), "_draw")})
     return out.drop("_draw")
-
-

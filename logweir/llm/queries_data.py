@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from logweir.llm.common import table, written
+from logweir.llm.common import table, word_count, written
 from logweir.llm.media import analyse_media, encode_media
 from logweir.llm.mixing import mix_documents
 from logweir.llm.packing import place_pieces, tokenize_pieces
@@ -11,8 +11,10 @@ from logweir.llm.token_output import ids_digest, token_output
 
 
 def op3_mixing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken", "draws")
+    # Texts are read once: what the mix goes by are word counts and hashes.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("_words_of"), F.xxhash64("doc_id", "text").alias("_ident"))
+    mixed = mix_documents(written(docs, "mix-sizes"), size="_words_of", ident="_ident")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "draws")
 
 
 def op10_sharding(spark, sf_dir):
