@@ -9,6 +9,9 @@ import threading
 import time
 from dataclasses import dataclass
 
+from logweir.operators import predicates
+
+# Column names, tiers, states and defaults, which catalogs in use have.
 FILES_DDL = "id bigint, path string, tier string, service string, time_bucket string, min_ts bigint, max_ts bigint, size_bytes bigint, record_count bigint, state string, min_kafka_offset bigint, max_kafka_offset bigint, superseded_at bigint"
 FIELDS = [part.split()[0] for part in FILES_DDL.split(", ")]
 
@@ -48,7 +51,7 @@ class Catalog:
         with self._lock:
             self._db.execute("PRAGMA journal_mode=WAL")
             self._db.execute(f"CREATE TABLE IF NOT EXISTS files ({', '.join(cols)})")
-            self._db.execute("CREATE INDEX IF NOT EXISTS files_by_bucket ON files (service, time_bucket, min_ts, max_ts)")
+            self._db.execute("CREATE INDEX IF NOT EXISTS files_by_time ON files (state, max_ts, min_ts)")
             self._db.execute("CREATE TABLE IF NOT EXISTS batches (stream TEXT, batch INTEGER, PRIMARY KEY (stream, batch))")
 
     # -- writes ----------------------------------------------------------------
@@ -117,20 +120,20 @@ class Catalog:
         """(active files that meet the closed window, number pruned)."""
         with self._lock:
             total = self._db.execute("SELECT count(*) FROM files WHERE state = 'active'").fetchone()[0]
-        kept = self._rows("state = 'active' AND max_ts >= ? AND min_ts <= ?", (time_from, time_to))
+            kept = self._rows(predicates.OVERLAPS.format(time_from="?", time_to="?"), (time_from, time_to))
         return kept, total - len(kept)
 
     def tier_eligible(self, cutoff: int):
-        return self._rows("state = 'active' AND tier = 'hot' AND max_ts < ?", (cutoff,))
+        return self._rows(predicates.TIER_ELIGIBLE.format(cutoff="?"), (cutoff,))
 
     def expired(self, hot_cutoff: int, cold_cutoff: int):
-        return self._rows("state = 'active' AND ((tier = 'hot' AND max_ts < ?) OR (tier = 'cold' AND max_ts < ?))", (hot_cutoff, cold_cutoff))
+        return self._rows(predicates.EXPIRED.format(hot="?", cold="?"), (hot_cutoff, cold_cutoff))
 
     def superseded_before(self, cutoff_s: int):
-        return self._rows("state = 'superseded' AND superseded_at > 0 AND superseded_at < ?", (cutoff_s,))
+        return self._rows(predicates.PAST_GRACE.format(cutoff="?"), (cutoff_s,))
 
     def bucket_files(self, service: str, time_bucket: str):
-        return self._rows("state = 'active' AND tier = 'hot' AND service = ? AND time_bucket = ?", (service, time_bucket))
+        return self._rows(predicates.BUCKET.format(service="?", time_bucket="?"), (service, time_bucket))
 
     def tier_counts(self) -> dict[str, int]:
         with self._lock:
@@ -139,7 +142,7 @@ class Catalog:
 
     def compactable_buckets(self, min_files: int) -> list[tuple[str, str]]:
         with self._lock:
-            return self._db.execute("SELECT service, time_bucket FROM files WHERE state = 'active' AND tier = 'hot' GROUP BY 1, 2 HAVING count(*) >= ? ORDER BY 1, 2", (min_files,)).fetchall()
+            return self._db.execute("SELECT service, time_bucket FROM files WHERE state = 'active' AND tier = 'hot' GROUP BY 1, 2 HAVING " + predicates.COMPACTABLE.format(count="count(*)", least="?") + " ORDER BY 1, 2", (min_files,)).fetchall()
 
     def hot_bucket_stats(self) -> list[dict]:
         from logweir.functions.scalar import density

@@ -2,6 +2,7 @@
 
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from logweir.catalog import Catalog
@@ -56,12 +57,21 @@ def due(catalog: Catalog, cfg: CompactionConfig, scheduled: bool) -> list[tuple[
     return [(s["service"], s["time_bucket"]) for s in catalog.hot_bucket_stats() if s["file_count"] >= cfg.small_file_threshold or s["density"] >= cfg.max_duplicate_ratio]
 
 
-def run_compaction(spark, data_dir: str, catalog: Catalog, cfg: CompactionConfig = CompactionConfig(), scheduled: bool = True, log=print) -> int:
-    """One pass over the due buckets; an error in one is logged and the others go on."""
-    done = 0
-    for service, bucket in due(catalog, cfg, scheduled):
+def run_compaction(spark, data_dir: str, catalog: Catalog, cfg: CompactionConfig = CompactionConfig(), scheduled: bool = True, log=print, metrics=None, parallel: int = 4) -> int:
+    """One pass over the due buckets, several at once; an error in one is logged and the others go on."""
+
+    def one(bucket) -> bool:
         try:
-            done += bool(compact_bucket(spark, service, bucket, data_dir, catalog, cfg))
+            return bool(compact_bucket(spark, *bucket, data_dir, catalog, cfg))
         except Exception as e:  # noqa: BLE001
-            log(f"compaction of {service}/{bucket} failed: {e}")
-    return done
+            log(f"compaction of {bucket[0]}/{bucket[1]} failed: {e}")
+            return False
+
+    if metrics:
+        metrics.set("files_compacting", 1)
+    try:
+        with ThreadPoolExecutor(max(1, parallel)) as pool:
+            return sum(pool.map(one, due(catalog, cfg, scheduled)))
+    finally:
+        if metrics:
+            metrics.set("files_compacting", 0)

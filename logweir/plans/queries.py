@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.functions.scalar import event_byte_size, floor_div, time_bucket, typed_attribute
-from logweir.operators import rollups
+from logweir.operators import predicates, rollups
 from logweir.operators.asof import asof_join
 from logweir.operators.dedup import dedup, logs_view
 from logweir.operators.paging import capped, page
@@ -168,7 +168,7 @@ ORACLES["compaction_due"] = RAW_SQL + BUCKET_SQL.split("\nSELECT slice, count")[
 @register("SELECT service, substr(time_bucket, 1, 10) AS day, count(*) AS file_count FROM files GROUP BY 1, 2 HAVING count(*) >= 20")
 def compactable_buckets(spark, sf_dir):
     day = F.substring("time_bucket", 1, 10).alias("day")
-    return files(spark, sf_dir).groupBy("service", day).agg(F.count("*").alias("file_count")).filter("file_count >= 20")
+    return files(spark, sf_dir).groupBy("service", day).agg(F.count("*").alias("file_count")).filter(predicates.COMPACTABLE.format(count="file_count", least=20))
 
 
 @register(f"SELECT CASE WHEN max_ts < {UPPER} THEN 'cold' ELSE 'hot' END AS tier, count(*) AS n FROM files GROUP BY 1")
@@ -190,16 +190,15 @@ def files_in_window(spark, sf_dir):
 
 @register(f"SELECT service, time_bucket, CASE WHEN min_kafka_offset % 2 = 0 THEN 'hot' ELSE 'cold' END AS tier FROM files WHERE (min_kafka_offset % 2 = 0 AND max_ts < {UPPER}) OR (min_kafka_offset % 2 <> 0 AND max_ts < {UPPER - 10**15})")
 def expired_files(spark, sf_dir):
-    tiered = files(spark, sf_dir).withColumn("tier", F.when(F.col("min_kafka_offset") % 2 == 0, "hot").otherwise("cold"))
-    gone = ((F.col("tier") == "hot") & (F.col("max_ts") < UPPER)) | ((F.col("tier") == "cold") & (F.col("max_ts") < UPPER - 10**15))
-    return tiered.filter(gone).select("service", "time_bucket", "tier")
+    gone = predicates.EXPIRED.format(hot=UPPER, cold=UPPER - 10**15)
+    return _stated(spark, sf_dir).filter(gone).select("service", "time_bucket", "tier")
 
 
 @register(f"SELECT service, time_bucket, CASE WHEN record_count % 3 = 0 THEN 0 ELSE max_ts // 1000000000 END AS superseded_at FROM files WHERE record_count % 3 <> 0 AND max_ts // 1000000000 > 0 AND max_ts // 1000000000 < {UPPER // 10**9 - 600}")
 def superseded_past_grace(spark, sf_dir):
     stamp = F.when(F.col("record_count") % 3 == 0, F.lit(0)).otherwise(floor_div(F.col("max_ts"), 1_000_000_000))
-    marked = files(spark, sf_dir).withColumn("superseded_at", stamp)
-    return marked.filter((F.col("superseded_at") > 0) & (F.col("superseded_at") < UPPER // 10**9 - 600)).select("service", "time_bucket", "superseded_at")
+    marked = files(spark, sf_dir).withColumns({"superseded_at": stamp, "state": F.lit("superseded")})
+    return marked.filter(predicates.PAST_GRACE.format(cutoff=UPPER // 10**9 - 600)).select("service", "time_bucket", "superseded_at")
 
 
 # -- scalar functions -----------------------------------------------------------------
@@ -300,3 +299,46 @@ spark_sql("q_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT)
 spark_sql("q_case_nulls", "SELECT o_orderstatus, sum(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS urgent, count(nullif(o_orderpriority, '5-LOW')) AS n FROM {orders} GROUP BY 1", "SELECT o_orderstatus, CAST(sum(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS BIGINT) AS urgent, count(nullif(o_orderpriority, '5-LOW')) AS n FROM orders GROUP BY 1", "orders")
 spark_sql("q_logs_self_join", "SELECT a.kafka_offset AS first_offset, count(*) AS n FROM {logs} a JOIN {logs} b ON a.message = b.message AND a.kafka_offset < b.kafka_offset GROUP BY 1", None)
 spark_sql("q_logs_level_counts", "SELECT level, count(*) AS n, min(kafka_offset) AS first_offset FROM {logs} GROUP BY level", None)
+spark_sql("q_except", "SELECT c_nationkey AS k FROM {customer} EXCEPT SELECT s_nationkey FROM {supplier}", None, "customer", "supplier")
+spark_sql("q_intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}", None, "customer", "supplier")
+spark_sql("q_distinct_on", "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM {events}) WHERE n = 1", "SELECT DISTINCT ON (user_id) user_id, event_id, ts FROM events ORDER BY user_id, ts DESC, event_id", "events")
+spark_sql("q_qualify", "SELECT o_orderpriority, o_orderkey FROM (SELECT o_orderpriority, o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS r FROM {orders}) WHERE r <= 5", "SELECT o_orderpriority, o_orderkey FROM orders QUALIFY rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) <= 5", "orders")
+spark_sql("q_int_division", "SELECT o_orderkey, o_orderkey div 7 AS whole, o_orderkey / 7 AS ratio, -o_orderkey div 7 AS below FROM {orders}", "SELECT o_orderkey, CAST(o_orderkey // 7 AS BIGINT) AS whole, o_orderkey / 7 AS ratio, CAST(-(o_orderkey // 7) AS BIGINT) AS below FROM orders", "orders")
+spark_sql("q_nulls_first_last", "SELECT n, CAST(row_number() OVER (ORDER BY k ASC NULLS LAST, n) AS BIGINT) AS up, CAST(row_number() OVER (ORDER BY k DESC NULLS FIRST, n) AS BIGINT) AS down FROM (SELECT o_orderkey AS n, nullif(o_orderkey % 5, 0) AS k FROM {orders})", None, "orders")
+spark_sql("q_maps", "SELECT o_custkey, element_at(m, 'F') AS f, element_at(m, 'O') AS o, CAST(size(m) AS BIGINT) AS n FROM (SELECT o_custkey, map_from_entries(collect_list(struct(o_orderstatus, c))) AS m FROM (SELECT o_custkey, o_orderstatus, count(*) AS c FROM {orders} GROUP BY 1, 2) GROUP BY 1)", "SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN c END) AS f, max(CASE WHEN o_orderstatus = 'O' THEN c END) AS o, count(*) AS n FROM (SELECT o_custkey, o_orderstatus, count(*) AS c FROM orders GROUP BY 1, 2) GROUP BY 1", "orders")
+spark_sql("q_structs", "SELECT o_custkey, top.price AS price, top.key AS key FROM (SELECT o_custkey, max(named_struct('price', o_totalprice, 'key', o_orderkey)) AS top FROM {orders} GROUP BY 1)", "SELECT o_custkey, top.price AS price, top.key AS key FROM (SELECT o_custkey, max({'price': o_totalprice, 'key': o_orderkey}) AS top FROM orders GROUP BY 1)", "orders")
+ORACLES["q_structs"] = "SELECT o_custkey, max(o_totalprice) AS price, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS key FROM orders GROUP BY 1"
+spark_sql("q_array_higher_order", "SELECT o_custkey, aggregate(filter(keys, k -> k % 2 = 0), 0L, (a, k) -> a + k) AS evens, exists(keys, k -> k % 97 = 0) AS hit, array_contains(keys, 1) AS one FROM (SELECT o_custkey, collect_list(CAST(o_orderkey AS BIGINT)) AS keys FROM {orders} GROUP BY 1)", "SELECT o_custkey, CAST(coalesce(sum(o_orderkey) FILTER (WHERE o_orderkey % 2 = 0), 0) AS BIGINT) AS evens, bool_or(o_orderkey % 97 = 0) AS hit, bool_or(o_orderkey = 1) AS one FROM orders GROUP BY 1", "orders")
+spark_sql("q_unnest", "SELECT o_custkey, part, count(*) AS n FROM (SELECT o_custkey, explode(split(o_orderpriority, '-')) AS part FROM {orders}) GROUP BY 1, 2", "SELECT o_custkey, part, count(*) AS n FROM (SELECT o_custkey, unnest(string_split(o_orderpriority, '-')) AS part FROM orders) GROUP BY 1, 2", "orders")
+# A sketch's value depends on its hashes, so what is compared is its error: five standard deviations, a hundredth of ranks.
+spark_sql("q_approx_distinct", "SELECT l_returnflag, abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS near FROM {lineitem} GROUP BY 1", "SELECT DISTINCT l_returnflag, true AS near FROM lineitem", "lineitem")
+spark_sql("q_approx_quantile", "SELECT event_type, percentile_approx(value, 0.99, 10000) BETWEEN percentile(value, 0.98) AND max(value) AS near FROM {events} GROUP BY 1", "SELECT DISTINCT event_type, true AS near FROM events", "events")
+
+
+# -- joins on ranges of time -----------------------------------------------------------
+@register("""SELECT e.event_id, count(*) AS views FROM (SELECT * FROM events WHERE event_type = 'purchase') e JOIN (SELECT * FROM events WHERE event_type = 'view') v
+ ON e.user_id = v.user_id AND v.ts BETWEEN e.ts - INTERVAL 1 DAY AND e.ts GROUP BY 1""", with_logs=False)
+def q_interval_join(spark, sf_dir):
+    """Views in the day before each purchase of the same user: an equi-join by user and day, so no user's rows all meet."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
+    bought = events.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("until"), F.explode(F.array("day", F.col("day") - F.expr("INTERVAL 1 DAY"))).alias("day"))
+    views = events.filter("event_type = 'view'").select("user_id", "day", "ts")
+    met = bought.join(views, ["user_id", "day"]).filter("ts BETWEEN until - INTERVAL 1 DAY AND until")
+    return met.groupBy("event_id").agg(F.count("*").alias("views"))
+
+
+# -- lifecycle predicates as the catalog states them (D4 to D7) ------------------------
+@register(f"SELECT service, time_bucket, max_ts FROM files WHERE min_kafka_offset % 2 = 0 AND max_ts < {UPPER}")
+def tier_eligible_files(spark, sf_dir):
+    return _stated(spark, sf_dir).filter(predicates.TIER_ELIGIBLE.format(cutoff=UPPER)).select("service", "time_bucket", "max_ts")
+
+
+@register("SELECT service, time_bucket, max_ts FROM files WHERE record_count % 3 = 0 AND min_kafka_offset % 2 = 0 AND service = 'click'")
+def bucket_hot_files(spark, sf_dir):
+    marked = _stated(spark, sf_dir).withColumn("state", F.when(F.col("record_count") % 3 == 0, "active").otherwise("superseded"))
+    return marked.filter(predicates.BUCKET.format(service="'click'", time_bucket="time_bucket")).select("service", "time_bucket", "max_ts")
+
+
+def _stated(spark, sf_dir):
+    """The files with a tier by parity of their first offset, all active."""
+    return files(spark, sf_dir).withColumns({"tier": F.when(F.col("min_kafka_offset") % 2 == 0, "hot").otherwise("cold"), "state": F.lit("active"), "superseded_at": F.lit(0).cast("bigint")})

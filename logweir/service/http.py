@@ -4,6 +4,7 @@ import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
+from logweir.service.console import CONSOLE
 from logweir.service.query import ApiError, QueryRequest
 from logweir.sources.push import BadEvent, push
 
@@ -48,7 +49,7 @@ def make_server(queries, jobs, data_dir: str, metrics, ready=lambda: True, port:
             elif self.path == "/jobs":
                 self._guard(lambda: self._send(202, {"job_id": jobs.submit(QueryRequest.of(self._body()), self.client_address[0])}))
             elif self.path == "/ingest":
-                self._guard(lambda: (push(queries.spark, self._body(), data_dir, queries.catalog), metrics.add("events_ingested_total"), self._send(204)))
+                self._guard(lambda: (push(queries.spark, self._body(), data_dir, queries.catalog, metrics), self._send(204)))
             else:
                 self._send(404, {"error": "not found"})
 
@@ -65,8 +66,8 @@ def make_server(queries, jobs, data_dir: str, metrics, ready=lambda: True, port:
                 self._guard(lambda: self._send(200, jobs.get(parts[1])))
             elif parts[0] == "jobs" and len(parts) == 3 and parts[2] == "results":
                 self._guard(lambda: self._send(200, jobs.results(parts[1], int(args.get("page", 0)), int(args.get("page_size", 100)))))
-            else:
-                self._send(404, {"error": "not found"})
+            else:  # a page of the console, which does its own routing
+                self._send(200, CONSOLE.encode(), "text/html; charset=utf-8")
 
         def do_DELETE(self):
             parts = self.path.strip("/").split("/")

@@ -34,6 +34,8 @@ class JobService:
         req.check()
         with self._lock:
             if sum(j.client == client and j.state == "queued" for j in self._jobs.values()) >= self.queue_cap:
+                if self.queries.metrics:
+                    self.queries.metrics.add("rate_limit_rejected_total")
                 raise ApiError(429, {"code": "queue_cap_exceeded", "cap": self.queue_cap}, {"Retry-After": "5"})
             job = Job(str(uuid.uuid4()), client, req)
             self._jobs[job.id] = job

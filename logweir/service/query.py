@@ -9,13 +9,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from logweir.catalog import Catalog
+from logweir.catalog import Catalog, FileEntry
 from logweir.functions.scalar import normalise_sql
 from logweir.operators.dedup import logs_view
 from logweir.operators.paging import DEFAULT_LIMIT, capped
 from logweir.session import query_session
 from logweir.sinks.text import ndjson
-from logweir.sources.scan import scan_window
+from logweir.sources.scan import scan_files, window_files
 
 
 class ApiError(Exception):
@@ -61,36 +61,40 @@ class QueryService:
         self.spark, self.catalog, self.cold, self.metrics = spark, catalog, cold, metrics
         self._cold_permits = threading.BoundedSemaphore(cold_concurrency)
 
-    def plan(self, req: QueryRequest) -> tuple[DataFrame | None, dict, bool]:
-        """(capped user query or None if no file survives, statistics, whether cold files are read)."""
-        req.check()
-        resolve = self.cold.resolve if self.cold else (lambda p: p)
-        kept, _ = self.catalog.overlapping(req.time_from, req.time_to)
-        is_cold = any(f.tier == "cold" for f in kept)
-        raw, stats = scan_window(query_session(self.spark), self.catalog, req.time_from, req.time_to, resolve)
-        if raw is None:
-            return None, stats, False
+    def plan(self, req: QueryRequest, files: list[FileEntry]) -> DataFrame | None:
+        """The capped user query over ``files``, None without any. Cold files are fetched here."""
+        if not files:
+            return None
+        raw = scan_files(query_session(self.spark), files, self.cold.resolve if self.cold else (lambda p: p))
         logs_view(raw).createOrReplaceTempView("logs")
-        return capped(raw.sparkSession.sql(require_select(req.sql)), req.limit), stats, is_cold
+        return capped(raw.sparkSession.sql(require_select(req.sql)), req.limit)
 
     def run(self, req: QueryRequest) -> Iterator[str]:
         """JSON rows, then one statistics line. Planning errors are raised before the first row."""
         req.check()
         began = time.monotonic()
-        try:
-            df, stats, is_cold = self.plan(req)
-        except ApiError:
-            raise
-        except Exception as e:  # noqa: BLE001
-            raise ApiError(500, {"error": str(e)}) from e
-        return self._rows(df, stats, is_cold, began)
-
-    def _rows(self, df, stats, is_cold, began):
+        # One look at the catalog: files, statistics and the need for a permit agree.
+        files, stats = window_files(self.catalog, req.time_from, req.time_to)
+        rows = self._rows(req, files, stats, began)
+        next(rows)  # takes the permit and plans; from here on the generator gives it back, read or not
+        return rows
+
+    def _rows(self, req, files, stats, began):
+        is_cold = any(f.tier == "cold" for f in files)
+        if is_cold:
+            self._cold_permits.acquire()  # before the first download, until the last row
         if self.metrics:
             self.metrics.add("active_queries", 1)
-        if is_cold:
-            self._cold_permits.acquire()
         try:
+            try:
+                df = self.plan(req, files)
+            except ApiError:
+                raise
+            except Exception as e:  # noqa: BLE001
+                raise ApiError(500, {"error": str(e)}) from e
+            if self.metrics:
+                self.metrics.add("bytes_scanned_total", stats["bytes_scanned"])
+            yield ""
             started = time.monotonic()
             if df is not None:
                 yield from ndjson(df)

@@ -32,7 +32,7 @@ def write_events(df: DataFrame, folder: str) -> None:
     keyed.hint("rebalance", "_service", "_bucket").sortWithinPartitions("_service", "_bucket", "timestamp").write.partitionBy("_service", "_bucket").mode("overwrite").parquet(folder)
 
 
-def flush_events(df: DataFrame, data_dir: str, catalog: Catalog, batch: tuple[str, int] | None = None) -> list[int]:
+def flush_events(df: DataFrame, data_dir: str, catalog: Catalog, batch: tuple[str, int] | None = None, metrics=None) -> list[int]:
     """Durably write a batch and register its files; returns catalog ids.
 
     An empty batch writes no file. A batch already in the catalog, by
@@ -44,4 +44,9 @@ def flush_events(df: DataFrame, data_dir: str, catalog: Catalog, batch: tuple[st
     name = f"{batch[0]}-{batch[1]:012d}" if batch else uuid.uuid4().hex
     folder = f"{data_dir.rstrip('/')}/{name}"
     write_events(df, folder)
-    return catalog.commit_flush(*written_files(df.sparkSession, folder), batch=batch)
+    files = written_files(df.sparkSession, folder)
+    ids = catalog.commit_flush(*files, batch=batch)
+    if metrics and ids:
+        for f in files:
+            metrics.add("events_ingested_total", f.record_count, service=f.service)
+    return ids

@@ -3,22 +3,23 @@
 import threading
 from collections import defaultdict
 
-#: Metric names and kinds that dashboards of the service read.
-METRICS = {
+#: The metric names and kinds that existing dashboards read.
+DASHBOARD = {
     "events_ingested_total": "counter",
-    "bytes_written_total": "counter",
-    "ingest_rejects_total": "counter",
     "flush_duration_seconds": "histogram",
+    "buffer_occupancy_ratio": "gauge",
+    "kafka_consumer_lag": "gauge",
+    "backpressure_pauses_total": "counter",
+    "files_active": "gauge",
+    "files_compacting": "gauge",
     "query_duration_seconds": "histogram",
+    "bytes_scanned_total": "counter",
     "active_queries": "gauge",
-    "consumer_lag": "gauge",
-    "backpressure_pauses_total": "counter",
-    "hot_files": "gauge",
-    "cold_files": "gauge",
-    "cold_cache_hits_total": "counter",
-    "cold_cache_misses_total": "counter",
-    "jobs_active": "gauge",
+    "rate_limit_rejected_total": "counter",
+    "cache_hits_total": "counter",
+    "cache_misses_total": "counter",
 }
+METRICS = {**DASHBOARD, "ingest_rejects_total": "counter"}
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 

@@ -71,10 +71,10 @@ class ColdCache:
             if local in self._sizes and os.path.exists(local):
                 self._sizes.move_to_end(local)
                 if self.metrics:
-                    self.metrics.add("cold_cache_hits_total")
+                    self.metrics.add("cache_hits_total")
                 return local
         if self.metrics:
-            self.metrics.add("cold_cache_misses_total")
+            self.metrics.add("cache_misses_total")
         part = f"{local}.{threading.get_ident()}.part"
         self.store.get(uri, part)
         with self._lock:

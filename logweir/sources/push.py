@@ -25,5 +25,5 @@ def event_row(payload: dict) -> tuple:
     return (int(payload["timestamp"]), level, str(payload["service"]), str(payload["message"]), int(payload["kafka_partition"]), int(payload["kafka_offset"]), json.dumps(attributes))
 
 
-def push(spark, payload: dict, data_dir: str, catalog: Catalog) -> list[int]:
-    return flush_events(spark.createDataFrame([event_row(payload)], LOG_SCHEMA), data_dir, catalog)
+def push(spark, payload: dict, data_dir: str, catalog: Catalog, metrics=None) -> list[int]:
+    return flush_events(spark.createDataFrame([event_row(payload)], LOG_SCHEMA), data_dir, catalog, metrics=metrics)

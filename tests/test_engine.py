@@ -204,7 +204,7 @@ def test_tiering_cold_query_cache_and_retention(spark, catalog, store, ev, tmp_p
     assert run_tiering(catalog, store, LifecycleConfig(tier_threshold_days=0), now_ns=lambda: 4500, metrics=metrics) == 4
     for i in range(2):
         flush_events(ev([(5000 + 1000 * i, 20 + i)]), str(tmp_path / "hot"), catalog)
-    assert metrics.value("cold_files") == 4 and catalog.tier_counts() == {"hot": 2, "cold": 4}
+    assert metrics.value("files_active", tier="cold") == 4 and catalog.tier_counts() == {"hot": 2, "cold": 4}
     cache = ColdCache(store, str(tmp_path / "cache"), metrics=metrics)
     q = svc(spark, catalog, cold=cache, metrics=metrics)
     for _ in range(2):
@@ -212,7 +212,7 @@ def test_tiering_cold_query_cache_and_retention(spark, catalog, store, ev, tmp_p
         assert [r["kafka_offset"] for r in rows] == [10, 11, 12, 13, 20, 21]
         for f in glob.glob(str(tmp_path / "cold" / "**" / "*.parquet"), recursive=True):
             os.remove(f)
-    assert metrics.value("cold_cache_misses_total") == 4 and metrics.value("cold_cache_hits_total") == 4
+    assert metrics.value("cache_misses_total") == 4 and metrics.value("cache_hits_total") == 4
     cfg = LifecycleConfig(hot_retention_days=0, cold_retention_days=0)
     assert sweep_expired(catalog, store, cfg, now_ns=lambda: 5500) == 5  # missing objects count as deleted
     assert [f.max_ts for f in catalog.active_files()] == [6000]
@@ -320,7 +320,7 @@ def test_http(spark, jobs, tmp_path):
     assert len(lines) == 6
     assert post("/ingest", {"timestamp": 5, "level": "info", "service": "s", "message": "m", "kafka_partition": 9, "kafka_offset": 1}).status == 204
     text = urllib.request.urlopen(base + "/metrics").read().decode()
-    assert "events_ingested_total 1" in text and "query_duration_seconds_sum" in text
+    assert 'events_ingested_total{service="s"} 1' in text and "query_duration_seconds_sum" in text
     with pytest.raises(urllib.error.HTTPError) as e:
         post("/query", {"sql": "SELECT 1"})
     assert e.value.code == 400
@@ -408,3 +408,92 @@ def test_text_and_names(spark):
 def test_plans(spark, ev):
     text = dedup(ev([(1, 1)]))._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in text
+
+
+# -- names that dashboards read ---------------------------------------------------------
+#: The metrics of the dashboard's panels.
+PANELS = ("events_ingested_total", "kafka_consumer_lag", "flush_duration_seconds", "query_duration_seconds", "active_queries", "files_active", "cache_hits_total", "cache_misses_total", "rate_limit_rejected_total", "bytes_scanned_total", "backpressure_pauses_total", "buffer_occupancy_ratio")
+
+
+def test_every_dashboard_metric_is_set(spark, catalog, store, ev, tmp_path):
+    """Each panel's metric has a value after ingest, tiering, queries, a refused job and progress of a stream."""
+    from types import SimpleNamespace
+
+    from logweir.streaming.ingest import IngestMonitor
+
+    metrics = Metrics()
+    for i in range(3):
+        flush_events(ev([(1000 * (i + 1), i)]), str(tmp_path / "hot"), catalog, metrics=metrics)
+    run_tiering(catalog, store, LifecycleConfig(tier_threshold_days=0), now_ns=lambda: 2500, metrics=metrics)
+    q = svc(spark, catalog, cold=ColdCache(store, str(tmp_path / "cache"), metrics=metrics), metrics=metrics)
+    for _ in range(2):
+        assert len(q.rows(QueryRequest("SELECT * FROM logs", 0, MAX))[0]) == 3
+    jobs = JobService(q, str(tmp_path / "jobs"), queue_cap=0)
+    with pytest.raises(ApiError):
+        jobs.submit(QueryRequest("SELECT 1", 0, MAX))
+    monitor = IngestMonitor("s", metrics)
+    source = SimpleNamespace(endOffset='{"logs": {"0": 5, "1": 7}}', latestOffset='{"logs": {"0": 9, "1": 7}}', metrics={})
+    for n in (100, 50_000, 45_000, 10, 50_000):
+        monitor.take(SimpleNamespace(sources=[source], numInputRows=n))
+    metrics.observe("flush_duration_seconds", 0.1)
+    run_compaction(spark, str(tmp_path / "hot"), catalog, metrics=metrics)
+    text = metrics.expose()
+    for name in PANELS:
+        assert any(line.startswith((name + " ", name + "{", name + "_bucket")) for line in text.splitlines()), name
+    assert metrics.value("events_ingested_total", service="svc") == 3 and metrics.value("files_active", tier="cold") == 2
+    assert metrics.value("cache_misses_total") == 2 and metrics.value("cache_hits_total") == 2 and metrics.value("rate_limit_rejected_total") == 1
+    assert metrics.value("kafka_consumer_lag", partition="0") == 4 and metrics.value("kafka_consumer_lag", partition="1") == 0
+    assert metrics.value("backpressure_pauses_total") == 2 and metrics.value("buffer_occupancy_ratio") == 1.0
+    assert metrics.value("bytes_scanned_total") > 0 and metrics.value("files_compacting") == 0 and metrics.value("active_queries") == 0
+
+
+def test_cold_downloads_wait_for_permits(spark, catalog, store, ev, tmp_path):
+    """With more cold queries than permits, no more than the permits download at once."""
+    flush_events(ev([(1000, 1)]), str(tmp_path / "hot"), catalog)
+    assert run_tiering(catalog, store, LifecycleConfig(tier_threshold_days=0), now_ns=lambda: 5000) == 1
+    cache = ColdCache(store, str(tmp_path / "cache"))
+    lock, now, most = threading.Lock(), [0], [0]
+
+    class Slow:
+        def resolve(self, path):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.2)
+            with lock:
+                now[0] -= 1
+                return cache.resolve(path)
+
+    q = svc(spark, catalog, cold=Slow(), cold_concurrency=2)
+    threads = [threading.Thread(target=lambda: q.rows(QueryRequest("SELECT * FROM logs", 0, MAX))) for _ in range(5)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert most[0] == 2
+    for bad in ("SELECT nope FROM logs", "SELECT nope FROM logs", "SELECT nope FROM logs"):  # failed plans give permits back
+        with pytest.raises(ApiError):
+            q.run(QueryRequest(bad, 0, MAX))
+    unread = [q.run(QueryRequest("SELECT * FROM logs", 0, MAX)) for _ in range(2)]
+    [rows.close() for rows in unread]  # so do results that nobody reads
+    assert len(q.rows(QueryRequest("SELECT * FROM logs", 0, MAX))[0]) == 1
+
+
+def test_first_fill(spark):
+    from logweir.sources.synthetic import first_fill
+
+    rows = first_fill(spark, 10**18).collect()
+    assert len(rows) == 20 and [r.level for r in rows[:4]] == ["INFO", "WARN", "ERROR", "INFO"] and rows[5].kafka_partition == 1
+    assert rows[19].timestamp == 10**18 - 19 * 10**9 and json.loads(rows[2].attributes) == {"request_id": "req-0002", "duration_ms": 14.0, "retries": 2}
+    assert json.loads(demo_events(spark, 3).collect()[2].attributes)["request_id"] == "req-000002"
+
+
+def test_console_page(spark, jobs, tmp_path):
+    import urllib.request
+
+    from logweir.service.http import make_server
+
+    server = make_server(jobs.queries, jobs, str(tmp_path), Metrics(), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    for path in ("/", "/history/1"):
+        got = urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}{path}")
+        assert got.status == 200 and "<title>logweir</title>" in got.read().decode()
+    server.shutdown()
