@@ -79,8 +79,8 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int =
                     good.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], ["a", "b"])
 
-    # Blocks of a centre's members; most centres have one.
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("n")).filter("n > 1")
+    # Blocks of a centre's members; most centres have one. A table, so that Spark checks its size before it joins.
+    many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("n")).filter("n > 1"), "neardup-centres")
     blocks = pairs.join(many, "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("n")), F.lit(0)).cast("int").alias("block"), "b")
     centres = blocks.select("a", "block").distinct().select("a", "block", F.lit(0).alias("side"), F.col("a").alias("doc_id"))
     rows = centres.union(blocks.select("a", "block", F.lit(1), "b"))
