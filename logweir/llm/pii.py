@@ -326,7 +326,7 @@ def _forms(kind: str, s: str) -> list[tuple[str, int]]:
 
 
 def _made_up(kind: str, seed: int) -> str:
-    """A value that its base rule finds, made from ``seed``."""
+    """A value of a kind, made from ``seed``; cards may also have 13 digits."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 9)))
     if kind == "email":
@@ -335,7 +335,7 @@ def _made_up(kind: str, seed: int) -> str:
     if kind == "ip":
         return ".".join(str(r.randint(0, 255) if r.random() < 0.7 else r.randint(0, 9)) for _ in range(4))
     if kind == "card":
-        d = r.choice("3456") + "".join(str(r.randint(0, 9)) for _ in range(14))
+        d = r.choice("3456") + "".join(str(r.randint(0, 9)) for _ in range(r.choice([11, 13, 14, 14, 14, 17])))
         return d + next(c for c in "0123456789" if luhn(d + c))
     return f"+1{r.randint(200, 989)}{r.randint(200, 999)}{r.randint(0, 9999):04d}"
 
