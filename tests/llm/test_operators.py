@@ -262,7 +262,7 @@ def test_pii_operator(docs, odd, none):
 def test_pii_adds_written_out_address(docs):
     model = pii.train_pii(docs)
     base, added = pii.find_spans("please write to anna.smith (at) mail3.example.com today", model)
-    assert base == [] and (not added or added[0][0] == "email")
+    assert base == [] and [s[:3] for s in added] == [("email", 16, 49)]
 
 
 def test_pii_adds_written_out_addresses_however_common(spark, docs):
@@ -327,10 +327,10 @@ def test_automaton_equals_edit_distance():
     for _ in range(4000):
         w = list(r.choice(terms))
         for _ in range(r.randint(0, 3)):
-            i = r.randint(1, len(w))
+            i = r.randint(0, len(w))
             w[i:i + r.randint(0, 1)] = r.choice(["", "x", "i", "o"])
         w = "".join(w)
-        near = [t for t in terms if t[0] == w[0] and edits(w[1:], t[1:]) <= toxicity.allowed(t)]
+        near = [t for t in terms if edits(w, t) <= toxicity.allowed(t)]
         got = auto.match(w)
         assert bool(got) == bool(near), (w, got, near)
     assert auto.match("loweient") == ("stem", "lowei") and auto.match("lowei") is None and auto.match("idoit") == ("near", "idiot")

@@ -37,3 +37,47 @@ def test_odd_rows_and_clashing_columns(spark):
     assert pipeline.quality_stage(spark, docs, SF).columns == docs.columns
     assert "<PHONE>" in pipeline.pii_stage(spark, docs, SF).filter("doc_id IS NULL").first().text
     pipeline.packing_stage(spark, docs, SF).collect()
+
+
+def test_stages_equal_plain_python(spark):
+    """Each stage's rows, on what the stage before it kept, as plain Python finds them; and run()'s documents."""
+    import numpy as np
+    from test_operators import brute_components, brute_spans, whole_ids
+
+    from logweir.llm import pii, quality
+    from logweir.llm.mixing import mix_documents
+
+    stages = dict(pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").persist()
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    model = quality.train_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = stages["quality"](spark, docs, SF).persist()
+    score = dict(zip(rows, model.score(np.array([quality.features(r.text) for r in rows.values()]))))
+    assert {r.doc_id: r for r in good.collect()} == {i: r for i, r in rows.items() if score[i] >= quality.THRESHOLD}
+
+    kept = {r.doc_id: r for r in good.collect()}
+    component = brute_components([(i, r.text) for i, r in kept.items()])[0]
+    unique = stages["near_duplicates"](spark, good, SF).persist()
+    kept = {i: r for i, r in kept.items() if component[i] == i}
+    assert {r.doc_id: r for r in unique.collect()} == kept
+
+    found = pii.train_pii(unique)
+    clean = stages["pii"](spark, unique, SF).persist()
+    got = {r.doc_id: r for r in clean.collect()}
+    assert {i: r.text for i, r in got.items()} == {i: pii.redact(r.text, found) for i, r in kept.items()}
+    assert all(r.text == kept[i].text for i, r in got.items() if not brute_spans(kept[i].text) and not pii.proposals(kept[i].text))
+    assert not any(brute_spans(r.text) for r in got.values())
+
+    drawn = stages["mixing"](spark, clean, SF).persist()
+    want = []
+    for r in mix_documents(clean).collect():
+        want += [(r.doc_id, d.words) for d in r.draws]
+    mixed = drawn.collect()
+    assert sorted((r.doc_id, len(r.text.split())) for r in mixed) == sorted(want)
+    assert all(got[r.doc_id].text.startswith(r.text) for r in mixed)
+
+    packed = stages["packing"](spark, drawn, SF).collect()
+    ids = [i for r in mixed for i in [*whole_ids(r.text), 1]]
+    assert sum(r.length for r in packed) == len(ids) and sorted(i for r in packed for i in r.ids) == sorted(ids)
+    assert {r.doc_id for r in pipeline.run(spark, SF).select("doc_id").collect()} == {r.doc_id for r in packed}
