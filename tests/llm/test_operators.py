@@ -309,6 +309,16 @@ def test_nearest_recall_ties_and_odd_rows(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_repeated_rows_hide_no_equal_vectors(spark):
+    x = np.random.default_rng(1).normal(size=(60, 16)).astype(np.float32)
+    x[1:10] = x[1]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, x[1].tolist())] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for exact in (False, True):
+        got = nearest(df, df.filter("vec_id = 1"), k=5, exact=exact).collect()
+        assert sorted((r["rank"], r.vec_id) for r in got) == [(i, i + 1) for i in range(1, 6)]
+
+
 # -- 7 and 9: models --------------------------------------------------------------------
 def edits(a, b):
     """Restricted Damerau-Levenshtein distance."""
