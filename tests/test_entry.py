@@ -33,7 +33,7 @@ def test_against_duckdb(spark, duck, name):
 
 def test_compaction_and_scan_over_all_partitions(spark):
     """No partition is left out, each offset is there once, and rows come by timestamp."""
-    rows = e.queries()["compacted_output_all"](spark, SF).collect()
+    rows = e.queries()["compacted_output"](spark, SF).collect()
     scan = e.queries()["raw_scan"](spark, SF).collect()
     keys = [(r.kafka_partition, r.kafka_offset) for r in rows]
     assert {k for k, _ in keys} == {0, 1, 2, 3} and len(keys) == len(set(keys))
