@@ -187,7 +187,7 @@ def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 3, source: str
 def drawn_rows(mixed: DataFrame, text: str = "text", seed: int = 3, key: str = "doc_id") -> DataFrame:
     """One row per draw with ``shard`` and ``shuffle_key``; a draw in part keeps its first words, spaces as they were.
 
-    Write it by repartition("shard") and sortWithinPartitions("shard", "shuffle_key") for local shuffling.
+    shuffled_shards() brings the rows into their shards, in shuffled order.
     """
     each = mixed.withColumn("_draw", F.explode("draws"))
     space = "[ \\t\\n\\x0B\\f\\r]"
@@ -195,3 +195,18 @@ def drawn_rows(mixed: DataFrame, text: str = "text", seed: int = 3, key: str = "
     cut = F.when(F.col("_draw.words") < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), F.col("_draw.words").cast("int")), "")).otherwise(F.col(text))
     out = each.withColumns({text: cut, "shard": F.col("_draw.shard"), "shuffle_key": F.xxhash64(F.lit(seed), F.col(key), "_draw")})
     return out.drop("_draw")
+
+
+def shuffled_shards(drawn: DataFrame, shards: int = 16) -> DataFrame:
+    """Rows of drawn_rows() in the order of shard and shuffle_key, each shard in equal ranges of shuffle_key.
+
+    Keys are uniform, so the ranges are known and no sample of the rows is drawn to find them. A partition holds rows
+    of one shard; there are at least as many as spark.sql.shuffle.partitions.
+    """
+    conf = drawn.sparkSession.conf
+    parts = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(max(1, -(-parts // shards)), 1 << 16)
+    # The upper half of the key, from 0 on.
+    place = F.shiftright((F.shiftright("shuffle_key", 32) + F.lit(1 << 31)) * F.lit(ranges), 32)
+    part = (F.col("shard") * F.lit(ranges) + place).cast("int")
+    return drawn.repartitionById(shards * ranges, part).sortWithinPartitions("shard", "shuffle_key")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logweir.llm import avi, packing, pii, shingles, toxicity
 from logweir.llm.ann import nearest
 from logweir.llm.media import analyse_media, clip_rows, encode_media
-from logweir.llm.mixing import MOST, WEIGHTS, drawn_rows, mix_documents
+from logweir.llm.mixing import MOST, WEIGHTS, drawn_rows, mix_documents, shuffled_shards
 from logweir.llm.neardup import compare_blocks, connected_components, keep_one, near_duplicates, verify
 from logweir.llm.quality import features, quality
 from logweir.llm.sharding import shard_documents
@@ -177,6 +177,13 @@ def test_mix_draws_and_tree_counts(spark, docs):
     assert sum(len((r.text or "").split()) for r in drawn) == sum(r.taken for r in mixed.collect())
     by = [sum(r.shard == s for r in drawn) for s in range(4)]
     assert max(by) - min(by) <= 0.5 * max(by)
+    # Three ranges a shard: whole, in order over the partitions, one shard in each.
+    spark.conf.set("spark.sql.shuffle.partitions", 10)
+    laid = shuffled_shards(drawn_rows(mixed), shards=4).withColumn("part", F.spark_partition_id()).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    order = [(r.part, r.shard, r.shuffle_key) for r in laid]
+    assert order == sorted(order) and [o[1:] for o in order] == sorted((r.shard, r.shuffle_key) for r in drawn)
+    assert {(r.part // 3, r.shard) for r in laid} == {(s, s) for s in range(4)} and len({r.part for r in laid}) == 12
 
 
 def test_hypergeometric_law(spark):
