@@ -3,6 +3,8 @@
 import numpy as np
 
 WORDS = 5
+#: Bytes of a text that are hashed at once, and elements that are walked at once.
+SLICE, ELEMENTS = 1 << 18, 40_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -36,11 +38,26 @@ def _grow(n: int):
     return _powers
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each white-space word, A-Z lower-cased."""
-    b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.empty(0, np.uint64)
+def _slices(b: np.ndarray, size: int):
+    """``b`` in slices of about ``size`` bytes at most, cut after white space; a longer word stays whole."""
+    while len(b) > size:
+        gaps = np.flatnonzero(_SPACE[b[:size]])[-1:]
+        if not len(gaps):
+            gaps = np.flatnonzero(_SPACE[b[size:]])[:1] + size
+        end = int(gaps[0]) + 1 if len(gaps) else len(b)
+        yield b[:end]
+        b = b[end:]
+    if len(b):
+        yield b
+
+
+def word_hashes(raw: bytes, size: int = SLICE) -> np.ndarray:
+    """A 64-bit hash of each white-space word, A-Z lower-cased; memory is bounded by ``size`` and the longest word, but for the hashes."""
+    parts = [_word_hashes(b) for b in _slices(np.frombuffer(raw, np.uint8), size)]
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _word_hashes(b: np.ndarray) -> np.ndarray:
     gap = _SPACE[b]
     edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
@@ -87,11 +104,14 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     sizes = np.array([len(s) for s in sets])
     group, total = [], 0
     for i in [*np.flatnonzero(sizes).tolist(), None]:
-        if i is None or (group and total + sizes[i] > 40_000):
+        if i is None or (group and total + sizes[i] > ELEMENTS):
             if group:
                 out[group] = _signatures([sets[g] for g in group], m)
             group, total = [], 0
-        if i is not None:
+        if i is not None and sizes[i] > ELEMENTS:
+            for a in range(0, sizes[i], ELEMENTS):
+                np.minimum(out[i], _signatures([sets[i][a:a + ELEMENTS]], m)[0], out=out[i])
+        elif i is not None:
             group.append(i)
             total += sizes[i]
     return out

@@ -479,6 +479,21 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_long_texts_hash_alike_in_parts(monkeypatch):
+    """Slices and parts of sets change memory, not hashes or signatures; words longer than a slice stay whole."""
+    r = np.random.default_rng(4)
+    words = ["".join(r.choice(list("abcXYZé"), r.integers(1, 30))) for _ in range(700)] + ["w" * 900, "Z"]
+    for text in (" ".join(words), "\n\t " * 40 + "  ".join(words) + " " * 300, "w" * 500, " " * 500, ""):
+        raw = text.encode()
+        whole = shingles.word_hashes(raw, 1 << 20)
+        assert len(whole) == len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        assert all((shingles.word_hashes(raw, n) == whole).all() for n in (1, 7, 64, 1000))
+    sets = [np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for n in (3, 0, 950, 40, 301)]
+    whole = shingles.superminhash(sets, 48)
+    monkeypatch.setattr(shingles, "ELEMENTS", 100)
+    assert (shingles.superminhash(sets, 48) == whole).all()
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(0)
     x = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
