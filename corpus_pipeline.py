@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm.common import discard, table, written
-from logweir.llm.mixing import drawn_rows, mix_documents
+from logweir.llm.mixing import drawn_rows, mix_documents, shuffled_shards
 from logweir.llm.neardup import keep_one
 from logweir.llm.packing import place_pieces, tokenize_pieces
 from logweir.llm.pii import redact_documents, train_pii
@@ -59,9 +59,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per draw of the mix, in shards, shuffled within each."""
-    drawn = drawn_rows(mix_documents(_narrow(docs)))
-    laid = drawn.repartitionByRange("shard", "shuffle_key").sortWithinPartitions("shard", "shuffle_key")
-    return _wide(laid, docs)
+    return _wide(shuffled_shards(drawn_rows(mix_documents(_narrow(docs)))), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
